@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, decontaminate
-from .store import table
+from .outliers import estimates, judged, statistics
+from .store import table, written
+
+
+def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = written(statistics(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")), "counts")
+    return judged(counts, estimates(counts)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +22,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op9_decontaminate,)}
+QUERIES = {f.__name__: f for f in (op1_outliers, op9_decontaminate)}
 
 #: A word of op9's rule; texts have A-Z lower-cased first.
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
