@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated, decontaminate
 from .outliers import estimates, judged, statistics
 from .store import table, written
+from .substrings import remove_repeats
 
 
 def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(counts, estimates(counts)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -22,13 +28,24 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op9_decontaminate)}
 
 #: A word of op9's rule; texts have A-Z lower-cased first.
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op2_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+win AS (SELECT doc_id, p, md5_number(array_to_string(w[p:p + 34], ' ')) g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) p FROM d WHERE len(w) >= 35)),
+again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT q) qs FROM (SELECT doc_id, unnest(range(p, p + 35)) q FROM win SEMI JOIN again USING (g)) GROUP BY 1),
+words AS (SELECT doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) q FROM d),
+out AS (SELECT doc_id, unnest(qs) q FROM gone),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) t, count(*) n FROM words ANTI JOIN out USING (doc_id, q) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(t, '')) kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op9_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD9}') w FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD9}') w FROM benchmark),
