@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, decontaminate
 from .outliers import estimates, judged, statistics
+from .site_lines import EDGES, HIDDEN, HOST, PARTS, drop_site_lines, host_of, html_lines
+from .site_tree import main_texts
 from .store import table, written
 from .substrings import remove_repeats
 
@@ -21,6 +23,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -28,7 +34,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op9_decontaminate)}
+def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return drop_site_lines(pages, html_lines("html"), host_of("url")).select("page_id", "host", "n_lines", "n_dropped", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op5_main_text, op9_decontaminate, op10_site_lines)}
 
 #: A word of op9's rule; texts have A-Z lower-cased first.
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,4 +72,13 @@ of AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id
 SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items,
   sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN of USING (doc_id)""",
+    "op10_site_lines": rf"""
+WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') host,
+  list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '{HIDDEN}', '', 'g'), '{PARTS}'), lambda x: regexp_replace(x, '{EDGES}', '', 'g')), lambda x: x <> '') l FROM pages),
+total AS (SELECT host, count(*) n FROM p WHERE host IS NOT NULL GROUP BY 1 HAVING count(*) >= 5),
+common AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(l)) line FROM p WHERE host IS NOT NULL) JOIN total USING (host)
+  GROUP BY host, line, n HAVING count(*) > 1 AND count(*) > 0.2 * n),
+lists AS (SELECT host, list(line) c FROM common GROUP BY 1),
+kept AS (SELECT page_id, p.host, l, list_filter(l, lambda x: c IS NULL OR NOT list_contains(c, x)) k FROM p LEFT JOIN lists ON p.host = lists.host)
+SELECT page_id, host, CAST(len(l) AS BIGINT) n_lines, CAST(len(l) - len(k) AS BIGINT) n_dropped, coalesce(array_to_string(k, chr(10)), '') AS "text" FROM kept""",
 }
