@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, decontaminate
+from .mixing import mix
 from .outliers import estimates, judged, statistics
+from .sharding import assign_shards
 from .site_lines import EDGES, HIDDEN, HOST, PARTS, drop_site_lines, host_of, html_lines
 from .site_tree import main_texts
 from .store import table, written
 from .substrings import remove_repeats
 
 
+#: The byte limit of a shard.
+SHARD_BYTES = 1_500_000
+
+
 def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = written(statistics(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")), "counts")
     return judged(counts, estimates(counts)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -23,10 +29,19 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=SHARD_BYTES)
+    return found.select("doc_id", "bytes", "shard", "depth", "shard_bytes")
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).drop("text")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -39,7 +54,7 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_lines(pages, html_lines("html"), host_of("url")).select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op5_main_text, op9_decontaminate, op10_site_lines)}
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op5_main_text, op6_mixing, op9_decontaminate, op10_site_lines)}
 
 #: A word of op9's rule; texts have A-Z lower-cased first.
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,6 +87,13 @@ of AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id
 SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items,
   sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN of USING (doc_id)""",
+    "op3_sharding": f"""
+WITH d AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) b, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) >> 1 h FROM documents),
+fits AS (SELECT * FROM d WHERE b <= {SHARD_BYTES}),
+sums AS (SELECT k, h >> (31 - k) p, sum(b) s FROM fits, (SELECT unnest(range(0, 25)) k) GROUP BY 1, 2),
+placed AS (SELECT doc_id, b, h, min(k) k FROM fits JOIN sums ON h >> (31 - k) = p WHERE s <= {SHARD_BYTES} GROUP BY 1, 2, 3)
+SELECT doc_id, b "bytes", CASE WHEN placed.k = 0 THEN '' ELSE lpad(bin(p), CAST(placed.k AS INTEGER), '0') END shard, CAST(placed.k AS INTEGER) depth, CAST(s AS BIGINT) shard_bytes
+FROM placed JOIN sums ON sums.k = placed.k AND p = h >> (31 - placed.k)""",
     "op10_site_lines": rf"""
 WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') host,
   list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '{HIDDEN}', '', 'g'), '{PARTS}'), lambda x: regexp_replace(x, '{EDGES}', '', 'g')), lambda x: x <> '') l FROM pages),
