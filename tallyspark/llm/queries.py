@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, decontaminate
+from .licenses import TEMPLATES, scan_licenses, templates
 from .mixing import mix
 from .outliers import estimates, judged, statistics
 from .sharding import assign_shards
@@ -13,7 +14,7 @@ from .site_lines import EDGES, HIDDEN, HOST, PARTS, drop_site_lines, host_of, ht
 from .site_tree import main_texts
 from .store import table, written
 from .substrings import remove_repeats
-
+from .toxicity import toxicity
 
 #: The byte limit of a shard.
 SHARD_BYTES = 1_500_000
@@ -34,6 +35,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "bytes", "shard", "depth", "shard_bytes")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), templates(spark))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -42,6 +47,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).drop("text")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -54,12 +64,15 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_lines(pages, html_lines("html"), host_of("url")).select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op5_main_text, op6_mixing, op9_decontaminate, op10_site_lines)}
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op4_licenses, op5_main_text, op6_mixing, op8_toxicity, op9_decontaminate, op10_site_lines)}
 
 #: A word of op9's rule; texts have A-Z lower-cased first.
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+
 SQL: dict[str, str] = {
     "op2_substrings": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
@@ -94,6 +107,18 @@ sums AS (SELECT k, h >> (31 - k) p, sum(b) s FROM fits, (SELECT unnest(range(0,
 placed AS (SELECT doc_id, b, h, min(k) k FROM fits JOIN sums ON h >> (31 - k) = p WHERE s <= {SHARD_BYTES} GROUP BY 1, 2, 3)
 SELECT doc_id, b "bytes", CASE WHEN placed.k = 0 THEN '' ELSE lpad(bin(p), CAST(placed.k AS INTEGER), '0') END shard, CAST(placed.k AS INTEGER) depth, CAST(s AS BIGINT) shard_bytes
 FROM placed JOIN sums ON sums.k = placed.k AND p = h >> (31 - placed.k)""",
+    "op4_licenses": rf"""
+WITH t AS (SELECT license, list_filter(string_split_regex({_LOWER.format("template")}, '{_BREAKS}'), lambda x: x <> '') w FROM (VALUES {_TEMPLATE_ROWS}) v(license, template)),
+ts AS (SELECT license, half, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) s
+  FROM (SELECT *, CAST(pow(2, ceil(log2(greatest(len(w), 8)))) AS BIGINT) half FROM t) WHERE len(w) >= 5),
+d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '{_BREAKS}'), lambda x: x <> '') w FROM documents
+  WHERE regexp_matches(text, '(?i)licen|permi|redistr|software')),
+ds AS (SELECT doc_id, len(w) n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) s FROM d WHERE len(w) >= 5),
+win AS (SELECT doc_id, n, half, k, s[k * half + 1:k * half + greatest(2 * half - 4, 1)] s
+  FROM (SELECT doc_id, n, s, half, unnest(range(0, len(s) // half + 1)) k FROM ds, (SELECT DISTINCT half FROM ts)) WHERE k * half < len(s)),
+hit AS (SELECT doc_id, license, k, k * half window_start, least(2 * half, n - k * half) window_words, len(list_intersect(ts.s, win.s)) shared, len(ts.s) total FROM win JOIN ts USING (half)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY shared DESC, k) rn FROM hit WHERE shared >= 0.8 * total)
+SELECT doc_id, license, CAST(window_start AS BIGINT) window_start, CAST(window_words AS BIGINT) window_words, CAST(shared AS BIGINT) shared, shared / total containment FROM best WHERE rn = 1""",
     "op10_site_lines": rf"""
 WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') host,
   list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '{HIDDEN}', '', 'g'), '{PARTS}'), lambda x: regexp_replace(x, '{EDGES}', '', 'g')), lambda x: x <> '') l FROM pages),
