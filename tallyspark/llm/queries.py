@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, decontaminate
+from .jaccard import similar_components
 from .licenses import TEMPLATES, scan_licenses, templates
 from .mixing import mix
 from .outliers import estimates, judged, statistics
@@ -47,6 +48,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).drop("text")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -64,7 +69,7 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_lines(pages, html_lines("html"), host_of("url")).select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op4_licenses, op5_main_text, op6_mixing, op8_toxicity, op9_decontaminate, op10_site_lines)}
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op4_licenses, op5_main_text, op6_mixing, op7_jaccard, op8_toxicity, op9_decontaminate, op10_site_lines)}
 
 #: A word of op9's rule; texts have A-Z lower-cased first.
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -119,6 +124,19 @@ win AS (SELECT doc_id, n, half, k, s[k * half + 1:k * half + greatest(2 * half -
 hit AS (SELECT doc_id, license, k, k * half window_start, least(2 * half, n - k * half) window_words, len(list_intersect(ts.s, win.s)) shared, len(ts.s) total FROM win JOIN ts USING (half)),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY shared DESC, k) rn FROM hit WHERE shared >= 0.8 * total)
 SELECT doc_id, license, CAST(window_start AS BIGINT) window_start, CAST(window_words AS BIGINT) window_words, CAST(shared AS BIGINT) shared, shared / total containment FROM best WHERE rn = 1""",
+    "op7_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[p:p + 2], ' ')) g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+df AS (SELECT g, count(*) f FROM s GROUP BY 1 HAVING count(*) > 1),
+r AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f NULLS FIRST, g) k FROM s JOIN n USING (doc_id) LEFT JOIN df USING (g)),
+pre AS (SELECT doc_id, g FROM r WHERE 10 * (k - 1) <= n),
+cand AS (SELECT DISTINCT a.doc_id x, b.doc_id y FROM pre a JOIN pre b USING (g) WHERE a.doc_id < b.doc_id),
+links AS (SELECT x, y FROM cand JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND b.g = a.g JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y
+  GROUP BY x, y, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+e AS (SELECT x u, y v FROM links UNION SELECT y, x FROM links),
+c AS (SELECT doc_id, doc_id root FROM d UNION SELECT e.v, c.root FROM c JOIN e ON e.u = c.doc_id WHERE c.root < e.v)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) component_id FROM c GROUP BY 1) USING (doc_id)""",
     "op10_site_lines": rf"""
 WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') host,
   list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '{HIDDEN}', '', 'g'), '{PARTS}'), lambda x: regexp_replace(x, '{EDGES}', '', 'g')), lambda x: x <> '') l FROM pages),
