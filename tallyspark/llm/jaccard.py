@@ -134,7 +134,7 @@ def _packed(keys: np.ndarray, ids: np.ndarray, n_buckets: int) -> Iterator[pa.Re
     """Sorted keys with their ids, one row for each range of keys."""
     bucket = ((keys >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-    rows = [(int(bucket[a]), keys[a:b].tobytes(), ids[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(keys)], strict=True)]
+    rows = [(int(bucket[a]), keys[a:b].tobytes(), ids[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(keys)], strict=False)]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "ids"])
 

@@ -86,7 +86,7 @@ class _Round:
         bucket = _bucket(self.distinct, n_buckets)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows = [(block, block % n_buckets, _STATE, state)]
-        for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
+        for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=False):  # none if there are no hashes
             rows.append((block, int(bucket[a]), _HASHES, self.distinct[a:b].tobytes() + np.packbits(self.twice[a:b]).tobytes()))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
