@@ -183,7 +183,7 @@ def _concentrate(fit: DataFrame, estimate: DataFrame, part: float) -> DataFrame:
     floors = np.array([f for _, _, f in VECTOR])
     d = _D
 
-    def next_estimate(key, bins: pd.DataFrame) -> pd.DataFrame:
+    def next_estimate(key, bins):
         bins = bins.sort_values("bin")
         n = bins["n"].to_numpy(np.float64)
         upto = int(np.searchsorted(np.cumsum(n), part * n.sum())) + 1
