@@ -23,7 +23,7 @@ def extract_numbers(text: str | None) -> list[dict]:
     if not text:
         return []
     text = unicodedata.normalize("NFKC", text)
-    text = _DATE.sub(" ", _SEASON.sub(" ", text))
+    text = _SEASON.sub(" ", _DATE.sub(" ", text))
     found = []
     for m in _NUMBER.finditer(text):
         digits = m[1].replace(",", "")

@@ -18,7 +18,7 @@ _RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 _CTE = re.compile(r"(?:CTE|UnresolvedWith|SubqueryAlias) \[?([A-Za-z_][\w, ]*)\]?")
 _FUNCTION = re.compile(r"'([A-Za-z_][\w.]*)\(")
 _BANNED = re.compile(r"\b(?:Sample|ScriptTransformation|UnresolvedTableValuedFunction|UnresolvedInlineTable|Generate|InsertInto\w+|CreateTable\w*|DropTable\w*|SetCommand|CacheTable\w*|UnresolvedHint|CTERelationRef recursive)\b")
-_QUERY_ROOTS = ("Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Filter", "Union", "Intersect", "Except", "With", "UnresolvedWith", "UnresolvedHaving", "SubqueryAlias", "Subquery", "WithWindowDefinition", "Offset", "UnresolvedSubqueryColumnAliases", "'")
+_QUERY_ROOTS = ("Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Filter", "Union", "Intersect", "Except", "CTE", "With", "UnresolvedWith", "UnresolvedHaving", "SubqueryAlias", "Subquery", "WithWindowDefinition", "Offset", "UnresolvedSubqueryColumnAliases", "'")
 
 
 class Refused(ValueError):
@@ -42,8 +42,8 @@ def check(spark, sql: str, allowed: set[str]) -> None:
         raise Refused(f"only SELECT is allowed, not {root}")
     if m := _BANNED.search(tree):
         raise Refused(f"{m[0]} is not allowed")
-    if re.search(r"\brecursive\b", sql, re.I):
-        raise Refused("recursive queries are not allowed")
+    if m := re.search(r"\b(?:recursive|tablesample)\b", re.sub(r"'[^']*'", "''", sql), re.I):
+        raise Refused(f"{m[0]} is not allowed")
     own = {x.strip().lower() for x in re.findall(r"(?:\bwith\b|,)\s*([A-Za-z_]\w*)\s*(?:\([^()]*\)\s*)?as\s*\(", sql, re.I)}
     for m in _RELATION.finditer(tree):
         name = m[1].replace(" ", "").lower()
@@ -77,14 +77,14 @@ def guarded(sql: str, views: dict[str, DataFrame], rows: int = ROWS) -> DataFram
 
 
 def collected(df: DataFrame, seconds: float = SECONDS) -> list:
-    """The rows, or an interrupt after so many seconds."""
-    spark = df.sparkSession
+    """The rows, or an error after so many seconds: the query's jobs are cancelled."""
+    context = df.sparkSession.sparkContext
     tag = f"guard-{uuid.uuid4().hex}"
-    watch = threading.Timer(seconds, lambda: spark.interruptTag(tag))
-    spark.addTag(tag)
+    watch = threading.Timer(seconds, lambda: context.cancelJobsWithTag(tag))
+    context.addJobTag(tag)
     watch.start()
     try:
         return df.collect()
     finally:
         watch.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
