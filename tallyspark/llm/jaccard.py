@@ -6,9 +6,10 @@ that, some fragment has the same segment in both: equal segments are the keys un
 missed. A meeting pair is verified by counting its overlap fragment by fragment and summing the partial counts.
 
 Groups of copies are never expanded into pairs. Equal sets are one class from the start. Each class is first compared with one
-other class that it shares most keys with, and what these links connect is one component. Pairs are then sought only between
-components, only where a key is shared, and only where the sizes leave room after n-grams that no other candidate has; all
-others cannot link or are connected already.
+other class, one that meets many, and what these links connect is one component. Pairs are then sought only between components,
+only where a key is shared, and only where the sizes leave room for a link after the n-grams that at most RARE candidates have;
+sets that share such n-grams are paired by them, and their count bounds the overlap. All other pairs cannot link or are connected
+already.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .words import mix, scan, spaced, window_hashes
 ADDED = ("n_shingles", "component_id")
 #: Fragments in which overlaps are counted.
 PARTS = 4
+#: Sets that share an n-gram up to which it counts as rare.
+RARE = 8
 #: Rows up to which a table of ids is broadcast.
 SMALL = 500_000
 _U = np.uint64
@@ -266,8 +269,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return written(roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct(), "roots")
 
 
-def _lonely(segments: DataFrame, n_buckets: int) -> DataFrame:
-    """id and u: how many of its n-grams no other set in segments has."""
+def _rare(segments: DataFrame, n_buckets: int) -> DataFrame:
+    """Rare n-grams, those of at most RARE of the sets: (a, null, how many a has) and (a, b, how many both have)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,25 +283,50 @@ def _lonely(segments: DataFrame, n_buckets: int) -> DataFrame:
             keys, ids = keys[order], ids[order]
             first = np.ones(len(keys), bool)
             first[1:] = keys[1:] != keys[:-1]
-            last = np.ones(len(keys), bool)
-            last[:-1] = first[1:]
-            # an n-gram that two sets here have goes on once, as nobody's
-            yield from _packed(keys[first], np.where((first & last)[first], ids[first], 0), n_buckets)
+            group = np.cumsum(first) - 1
+            often = (np.bincount(group) > RARE)[group] if len(keys) else first
+            # an n-gram that is common here already goes on once, as nobody's
+            yield from _packed(keys[~often | first], np.where(often, 0, ids)[~often | first], n_buckets)
 
-    def alone(key, table):
+    def count(key, table):
         keys, ids = _unpacked(table)
         first = np.ones(len(keys), bool)
         first[1:] = keys[1:] != keys[:-1]
-        last = np.ones(len(keys), bool)
-        last[:-1] = first[1:]
-        own, n = np.unique(ids[first & last & (ids != 0)], return_counts=True)
-        return pa.table({"id": pa.array(own, pa.int64()), "u": pa.array(n, pa.int64())})
-
-    return segments.select("id", "seg").mapInArrow(emit, _PACKED).groupBy("bucket").applyInArrow(alone, "id long, u long").groupBy("id").agg(F.sum("u").alias("u"))
+        group = np.cumsum(first) - 1
+        rare = ((np.bincount(group) <= RARE) & ~np.bincount(group[ids == 0], minlength=group[-1] + 1 if len(group) else 0).astype(bool))[group] if len(keys) else first
+        keys, ids = keys[rare], ids[rare]
+        left, right = [ids], [ids]
+        for off in range(1, RARE):
+            same = np.flatnonzero(keys[off:] == keys[:-off]) if len(keys) > off else np.zeros(0, np.int64)
+            left.append(ids[same + off])
+            right.append(ids[same])
+        pairs, n = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1, return_counts=True)
+        return _dealt(pairs, n, n_buckets)
+
+    def total(key, table):
+        a, b, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("a", "b", "n"))
+        pairs, at = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
+        own = pairs[0] == pairs[1]
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64(), mask=own), "n": pa.array(np.bincount(at.ravel(), weights=n, minlength=len(own)).astype(np.int64), pa.int64())})
+
+    found = segments.select("id", "seg").mapInArrow(emit, _PACKED).groupBy("bucket").applyInArrow(count, "bucket int, a binary, b binary, n binary")
+    return written(found.groupBy("bucket").applyInArrow(total, "a long, b long, n long"), "rare")
+
+
+def _dealt(pairs: np.ndarray, n: np.ndarray, n_buckets: int) -> pa.Table:
+    """Counts of pairs, packed by the bucket that sums them."""
+    bucket = (mix(pairs[0].astype(np.int64).view(_U)) % _U(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    a, b, n = pairs[0][order], pairs[1][order], n[order].astype(np.int64)
+    rows = [(int(bucket[i]), a[i:j].tobytes(), b[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(edges, [*edges[1:], len(bucket)], strict=False)]
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "a", "b", "n"])
 
 
 def _room(n: Column, u: Column, p: int, q: int) -> tuple[Column, Column]:
-    """The least and the largest size of a set that one of n n-grams, u of them its own, can be similar to."""
+    """The least and the largest size of a set that one of n n-grams can be similar to, if u of them are not in the other."""
     low = F.ceil(n * p / F.lit(float(q)) - 1e-9).cast("long")
     # overlap <= n - u, and similar sets have (p + q) overlap >= p (n + m)
     high = F.floor((n - u) * (p + q) / F.lit(float(p)) - n + 1e-9).cast("long")
@@ -321,9 +349,10 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     n_buckets = spread(size * per_set, 24_000_000, spark)
     classes = features.where("_id is not null").groupBy(F.col("_id").alias("id")).agg(F.min("_doc").alias("_doc"), F.count("*").alias("_rows"))
     members = written(_members(docs, text, width, scheme, n_buckets), "members")
-    # one candidate for each class: the least id of the keys that it shares most
-    heads = members.groupBy("key").agg(F.min("id").alias("head"))
-    stars = members.join(heads, "key").where("id <> head").groupBy("id", "head").agg(F.count("*").alias("c")).groupBy("id").agg(F.max_by("head", F.struct("c", -F.col("head"))).alias("head"))
+    # one candidate for each class: of the sets at its keys the one that meets most others, which is what copies resemble
+    meets = members.join(members.groupBy("key").agg((F.count("*") - 1).alias("c")), "key").groupBy("id").agg(F.sum("c").alias("met"))
+    heads = members.join(meets, "id").groupBy("key").agg(F.max(F.struct("met", F.col("id").alias("head"))).alias("h")).select("key", "h.head")
+    stars = members.join(heads, "key").where("id <> head").groupBy("id", "head").agg(F.count("*").alias("c")).groupBy("id").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
     stars = written(stars.select(F.col("id").alias("a"), F.col("head").alias("b")), "stars")
     candidates = members.select("id").distinct()
     segments = _segments(docs, key, text, width, classes.join(candidates, "id").select("_doc", "id"))
@@ -333,20 +362,24 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     own = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = segments.where("part = 0").select("id", "n")
     open_keys = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = written(own.join(open_keys, "key", "left_semi").join(sizes, "id"), "open")
-    for _ in range(2):
-        here = segments.join(left.select("id").distinct(), "id", "left_semi")
-        lonely = _lonely(here, n_buckets)
-        left = left.drop("u", "low", "high").join(lonely, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-        low, high = _room(F.col("n"), F.col("u"), p, q)
-        left = left.withColumns({"low": low, "high": high}).where("high >= low")
-        left = written(left, "open")
+    open_members = written(own.join(open_keys, "key", "left_semi").join(sizes, "id"), "open")
+    # n-grams that few others have leave a set little room; pairs that share such n-grams are looked at one by one
+    rare = _rare(segments.join(open_members.select("id").distinct(), "id", "left_semi"), n_buckets)
+    few = rare.where("b is null").select(F.col("a").alias("id"), F.col("n").alias("u"))
+    bare = open_members.join(few, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    low, high = _room(F.col("n"), F.col("u"), p, q)
+    left = written(bare.withColumns({"low": low, "high": high}).where("high >= low"), "room")
+    each = bare.select("id", "root", "n", "u").distinct()
+    one, two = (each.select(*(F.col(c).alias(f"{c}_{x}") for c in each.columns)) for x in "ab")
+    close = rare.where("b is not null").withColumnRenamed("n", "s").join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
+    most = F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b")) + F.col("s")
+    close = close.where((F.col("root_a") != F.col("root_b")) & ((p + q) * most >= p * (F.col("n_a") + F.col("n_b")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     counts = left.groupBy("key", "root").agg(F.count("*").alias("c"))
-    most = counts.groupBy("key").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("_most"), F.count("*").alias("_roots")).where("_roots > 1").drop("_roots")
-    few = left.join(most, "key").where("root <> _most").drop("_most")
+    largest = counts.groupBy("key").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("_most"), F.count("*").alias("_roots")).where("_roots > 1").drop("_roots")
+    fewer = left.join(largest, "key").where("root <> _most").drop("_most")
     other = left.select("key", *(F.col(c).alias(f"_{c}") for c in ("id", "root", "n", "low", "high")))
-    meets = (F.col("root") != F.col("_root")) & F.col("_n").between(F.col("low"), F.col("high")) & F.col("n").between(F.col("_low"), F.col("_high"))
-    pairs = few.join(other, "key").where(meets).select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b")).distinct()
+    room = (F.col("root") != F.col("_root")) & F.col("_n").between(F.col("low"), F.col("high")) & F.col("n").between(F.col("_low"), F.col("_high"))
+    pairs = fewer.join(other, "key").where(room).select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b")).unionByName(close).distinct()
     second = written(_links(pairs, segments, p, q), "links")
     # first links are given by their roots, so the last round works on few edges
     roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second))
