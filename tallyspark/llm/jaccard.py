@@ -30,6 +30,8 @@ ADDED = ("n_shingles", "component_id")
 PARTS = 4
 #: Sets that share an n-gram up to which it counts as rare.
 RARE = 8
+#: Keys that a task holds before it passes them on, which bounds its memory.
+HELD_KEYS = 400_000
 #: Rows up to which a table of ids is broadcast.
 SMALL = 500_000
 _U = np.uint64
@@ -162,11 +164,11 @@ def _shared(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _members(docs: DataFrame, text: str, width: int, scheme: Scheme, n_buckets: int) -> DataFrame:
     """(key, id) for all keys that several sets share. A task names the sets that share a key among its own texts itself and
-    passes on only the least id, so that a key arrives at most once from each batch."""
+    passes on only the least id, so that a key arrives at most once from each block of HELD_KEYS."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_keys, all_ids = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+            all_keys, all_ids, held = [], [], 0
             seen: set[int] = set()
             for n_docs, doc, h in shingle_sets(batch.column(0), width):
                 _, ids = _set_ids(n_docs, doc, h)
@@ -179,14 +181,22 @@ def _members(docs: DataFrame, text: str, width: int, scheme: Scheme, n_buckets:
                 d, k = scheme.keys(n_docs, doc[use], h[use])
                 all_keys.append(k)
                 all_ids.append(ids[d])
-            keys, ids = np.concatenate(all_keys), np.concatenate(all_ids)
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            at, several, first = _shared(keys, ids)
-            keys, ids = keys[at], ids[at]
-            yield from _packed(keys[first], ids[first], n_buckets)
-            if several.any():
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([keys[several].tobytes()], pa.binary()), pa.array([ids[several].tobytes()], pa.binary())], names=["bucket", "keys", "ids"])
+                held += len(k)
+                if held >= HELD_KEYS:
+                    yield from sent_on(all_keys, all_ids)
+                    all_keys, all_ids, held = [], [], 0
+            if held:
+                yield from sent_on(all_keys, all_ids)
+
+    def sent_on(all_keys: list[np.ndarray], all_ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, ids = np.concatenate(all_keys), np.concatenate(all_ids)
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        at, several, first = _shared(keys, ids)
+        keys, ids = keys[at], ids[at]
+        yield from _packed(keys[first], ids[first], n_buckets)
+        if several.any():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([keys[several].tobytes()], pa.binary()), pa.array([ids[several].tobytes()], pa.binary())], names=["bucket", "keys", "ids"])
 
     def meet(key, table):
         keys, ids = _unpacked(table)
@@ -346,7 +356,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     features = written(_features(docs, key, text, width), "features")
     size = features.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     per_set = 2 * 2 * (q - p) / (q + p) * 16
-    n_buckets = spread(size * per_set, 24_000_000, spark)
+    n_buckets = spread(size * per_set, 12_000_000, spark)
     classes = features.where("_id is not null").groupBy(F.col("_id").alias("id")).agg(F.min("_doc").alias("_doc"), F.count("*").alias("_rows"))
     members = written(_members(docs, text, width, scheme, n_buckets), "members")
     # one candidate for each class: of the sets at its keys the one that meets most others, which is what copies resemble
