@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import without
+from .store import left_join_small, without
 
 #: What is taken out of a page before its lines are read, and what parts them. The patterns mean the same to Java and RE2.
 HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
@@ -49,7 +49,7 @@ def drop_site_lines(pages: DataFrame, lines: Column, host: Column, ratio: float
     total = rows.where(F.col("_host").isNotNull()).groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= min_pages)
     common = on.join(total, "_host").where(F.col("_on") > F.lit(ratio) * F.col("_pages")).groupBy("_host").agg(F.collect_list("_line").alias("_common"))
     kept = F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_common", _digest(x))))
-    out = rows.join(common.withColumnRenamed("_host", "_of"), F.col("_host") == F.col("_of"), "left").withColumn("_kept", kept)
+    out = left_join_small(rows, common.withColumnRenamed("_host", "_of"), "_host", "_of").withColumn("_kept", kept)
     return without(out, "host", "n_lines", "n_dropped", "text").select(
         *(c for c in without(pages, "host", "n_lines", "n_dropped", "text").columns),
         F.col("_host").alias("host"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("text"),

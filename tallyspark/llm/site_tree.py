@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .site_lines import host_of
-from .store import without
+from .store import left_join_small, without
 
 # Element names of HTML by what they mean for a main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -248,7 +248,7 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", **tree) -
     low = low_branches(base, html, url, **tree).withColumnRenamed("_host", "_of")
     rest = [f for f in base.schema.fields if f.name.lower() != html.lower()]
     rows = base.select(*(f.name for f in rest), F.col(html).alias("_html"), host_of(url).alias("_host"))
-    rows = rows.join(low, F.col("_host") == F.col("_of"), "left").drop("_host", "_of")
+    rows = left_join_small(rows, low, "_host", "_of").drop("_host", "_of")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}

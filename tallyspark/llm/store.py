@@ -53,6 +53,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows up to which a table is broadcast; what is larger is joined with salted keys.
+SMALL_ROWS = 200_000
+
+
+def left_join_small(rows: DataFrame, small: DataFrame, left: str, right: str, salts: int = 64) -> DataFrame:
+    """rows left-joined to a table with one row a key, of which some keys may hold most of rows. The table is written and its
+    size checked: up to SMALL_ROWS it is broadcast and rows stay in place; beyond that each of its rows is repeated for every
+    salt and rows are dealt by key and salt, so that no task gets a whole hot key."""
+    small = written(small, "small")
+    if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(small), F.col(left) == F.col(right), "left")
+    salted = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_of"))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    return dealt.join(salted, (F.col(left) == F.col(right)) & (F.col("_salt") == F.col("_salt_of")), "left").drop("_salt", "_salt_of")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame without columns whose names clash, whatever their case, with the names that an operator adds."""
     low = {x.lower() for x in names}

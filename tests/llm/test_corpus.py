@@ -226,3 +226,13 @@ def test_the_pipeline_keeps_clean_documents(spark, tmp_path):
         gone.append({x[0] for x in before.select("doc_id").subtract(docs.select("doc_id")).collect()})
     assert gone[0] == {1003, 1004, 1005} and gone[1] == {1000, 1001} and gone[2] == {1002} and gone[4] == set()
     assert sorted(map(tuple, P.run(spark, d).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_large_lists_are_joined_with_salted_keys(spark, monkeypatch):
+    from tallyspark.llm import store
+
+    pages = spark.createDataFrame([(i, "http://a.example/", f"<p>menu</p><p>{i}</p>") for i in range(40)] + [(99, None, "<p>menu</p>")], "page_id long, url string, html string")
+    want = sorted(map(tuple, drop_site_lines(pages, html_lines("html"), host_of("url")).collect()))
+    monkeypatch.setattr(store, "SMALL_ROWS", 0)
+    assert sorted(map(tuple, drop_site_lines(pages, html_lines("html"), host_of("url")).collect())) == want
+    assert sum(r[-2] for r in want) == 40
