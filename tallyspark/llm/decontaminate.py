@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,7 +132,7 @@ def _matcher(automaton, text: str, cut: bool):
     rule = alnum()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Automaton = automaton.value
+        own: Automaton = cloudpickle.loads(automaton.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -207,7 +208,7 @@ def decontaminate(
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64(item_id), F.lit(n_blocks)) == block)
         rows = part.select(F.col(item_id).cast("string"), as_bytes(item_text)).where(F.col(item_text).isNotNull()).collect()
         coded = [(str(name), np.concatenate([c.hash for c in scan(pa.array([bytes(body)], pa.binary()), rule)] or [np.zeros(0, np.uint64)])) for name, body in rows]
-        shared = spark.sparkContext.broadcast(Automaton([x for x in coded if len(x[1])], width))
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Automaton([x for x in coded if len(x[1])], width)))  # with its class
         if block:
             before = [F.col(c).alias(f"_{c}") for c in ADDED]
             out = out.select(*[c for c in out.columns if c not in ADDED], *before)
