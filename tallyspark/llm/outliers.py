@@ -33,14 +33,19 @@ _is_mark[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b not in SYMB
 _is_upper = np.zeros(256, bool)
 _is_upper[65:91] = True
 
+#: The 0.999 quantile for six statistics. In a group that has no repeats, duplicated lines alone pass it above the share MOST_LINES;
+#: repeated words, on which the base rule decides alone, reach half of it at that rule's limit MOST_REPEATS.
+CUT = 22.45774
+MOST_REPEATS, MOST_LINES = 0.30, 0.40
+
 #: The vector: (name, SQL over the counts, least standard deviation that a group is taken to have).
 VECTOR = (
     ("z_length", "ln(word_chars / greatest(n_words, 1))", 0.06),
     ("z_symbols", "sqrt(n_symbols / greatest(word_chars, 1))", 0.06),
     ("z_upper", "sqrt(n_upper / greatest(word_chars, 1))", 0.06),
     ("z_marks", "sqrt(n_marks / greatest(word_chars, 1))", 0.06),
-    ("z_repeats", "sqrt(n_repeat_words / greatest(n_words, 1))", 0.25),
-    ("z_lines", "sqrt(n_dup_lines / greatest(n_lines, 1))", 0.25),
+    ("z_repeats", "sqrt(n_repeat_words / greatest(n_words, 1))", math.sqrt(2 * MOST_REPEATS / CUT)),
+    ("z_lines", "sqrt(n_dup_lines / greatest(n_lines, 1))", math.sqrt(MOST_LINES / CUT)),
 )
 _D = len(VECTOR)
 
