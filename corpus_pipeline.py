@@ -5,6 +5,7 @@ Each stage works on all that the one before it kept; its result is written as Pa
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that five-word shingles connect at a similarity of 0.8."""
-    found = similar_components(docs, width=5, p=80, q=100)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    """Exactly one row of each group that five-word shingles connect at a similarity of 0.8: the one with the least id, nulls
+    last, and of rows with the same id the first of the input. Rows are told apart by where they stand in the input, so
+    repeated rows are copies, and rows with one id and different texts are judged each by its own text."""
+    rows = numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("_row").alias("row"))
+    found = similar_components(rows.select(key.alias("_key"), "text"), "_key", width=5, p=80, q=100)
+    gone = written(found.where("_key <> component_id").select(F.col("_key.row").alias("_row")), "copies")
     if gone.limit(SMALL + 1).count() <= SMALL:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of its own for each row that is the same whenever docs is read: the file and the row in it, or,
+    if docs is not read from files, the number it is written with."""
+    try:
+        files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    number = F.array_position(F.array(*(F.lit(x) for x in files)).cast("array<string>"), F.col("_metadata.file_path"))
+    return docs.withColumn("_row", F.shiftleft(number.cast("long"), 40) + F.col("_metadata.row_index"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

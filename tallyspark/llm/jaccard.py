@@ -216,7 +216,8 @@ def _members(docs: DataFrame, text: str, width: int, scheme: Scheme, n_buckets:
 
 def _segments(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
     """id, part, n, and seg: the hashes (sorted, packed) of each wanted set that fall into each of PARTS fragments. wanted has
-    _doc and id: a text that has the set."""
+    _doc and id: a text that has the set. Other rows may have that _doc too, and sets of rows without one have a null _doc, so
+    each task names the sets of its rows again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,10 +226,13 @@ def _segments(docs: DataFrame, key: str, text: str, width: int, wanted: DataFram
             at = 0
             for n_docs, doc, h in shingle_sets(batch.column(0), width):
                 edge = np.searchsorted(doc, np.arange(n_docs + 1))
+                own_ids = _set_ids(n_docs, doc, h)[1].tolist()
                 for k in range(n_docs):
+                    if edge[k] == edge[k + 1] or ids[at + k] not in (None, own_ids[k]):
+                        continue
                     own = h[edge[k] : edge[k + 1]]
                     cut = np.searchsorted(own >> _U(62), np.arange(PARTS + 1, dtype=_U)) if PARTS == 4 else None
-                    rows += [(ids[at + k], part, len(own), own[cut[part] : cut[part + 1]].tobytes()) for part in range(PARTS)]
+                    rows += [(own_ids[k], part, len(own), own[cut[part] : cut[part + 1]].tobytes()) for part in range(PARTS)]
                 at += n_docs
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["id", "part", "n", "seg"])
@@ -236,8 +240,13 @@ def _segments(docs: DataFrame, key: str, text: str, width: int, wanted: DataFram
     rows = docs.select(F.col(key).alias("_doc"), as_bytes(text).alias("_bytes"))
     wanted = written(wanted, "wanted")
     small = wanted.count() <= SMALL
-    rows = rows.join(F.broadcast(wanted) if small else wanted, "_doc").select("_bytes", "id")
-    return written(rows.mapInArrow(run, "id long, part int, n long, seg binary"), "segments").dropDuplicates(["id", "part"])
+    schema = "id long, part int, n long, seg binary"
+    found = rows.join(F.broadcast(wanted) if small else wanted, "_doc").select("_bytes", "id").mapInArrow(run, schema)
+    unnamed = wanted.where("_doc is null").select("id")
+    if not unnamed.isEmpty():
+        others = rows.where("_doc is null").select("_bytes", F.lit(None).cast("long").alias("id")).mapInArrow(run, schema)
+        found = found.unionByName(others.join(F.broadcast(unnamed) if small else unnamed, "id", "left_semi"))
+    return written(found, "segments").dropDuplicates(["id", "part"])
 
 
 def _links(pairs: DataFrame, segments: DataFrame, p: int, q: int) -> DataFrame:
