@@ -43,16 +43,20 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _DIGITS = re.compile(r"\d+")
+#: What follows these words of a name says what an element has or lacks, not what it is.
+_HAS = frozenset("has have no not with without".split())
 
 
 class Element:
     """path: what identifies it in the site's tree; noise: it or something above it is not main text; main: it is inside an
-    article. parts: texts and child elements in order."""
+    article or main. stated: its tag or attributes hide it; named: a word of its names does. parts: texts and child elements in
+    order."""
 
-    __slots__ = ("tag", "path", "above", "noise", "main", "parts")
+    __slots__ = ("tag", "path", "above", "stated", "named", "noise", "main", "parts")
 
-    def __init__(self, tag: str, path: str, above: tuple[str, ...], noise: bool, main: bool):
-        self.tag, self.path, self.above, self.noise, self.main = tag, path, above, noise, main
+    def __init__(self, tag: str, path: str, above: tuple[str, ...], stated: bool, named: bool, main: bool):
+        self.tag, self.path, self.above, self.stated, self.named, self.main = tag, path, above, stated, named, main
+        self.noise = False
         self.parts: list = []
 
 
@@ -62,9 +66,77 @@ def _names(attributes: str) -> list[str]:
     return [x for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split()]
 
 
+def _named(names: list[str]) -> bool:
+    for x in names:
+        for w in _WORD.findall(_CAMEL.sub(r"\1 \2", x).lower()):
+            if w in _HAS:
+                break
+            if w in NOISE:
+                return True
+    return False
+
+
 def parse(page: str) -> Element:
-    """The page's tree. Unclosed and stray tags are mended as browsers do in the common cases."""
-    root = Element("", "", (), False, False)
+    """The page's tree, with its noise marked. Unclosed and stray tags are mended as browsers do in the common cases."""
+    root = _parse(page)
+    elements = list(_walk(root))
+    _mark(elements, True, True)
+    if not _has_text(elements):
+        _mark(elements, True, False)
+        if not _has_text(elements):
+            _mark(elements, False, False)
+    return root
+
+
+def _has_text(elements: list[Element]) -> bool:
+    return any(not e.noise and any(isinstance(x, str) and not x.isspace() for x in e.parts) for e in elements)
+
+
+def _mark(elements: list[Element], stated: bool, named: bool) -> None:
+    """Sets the noise of all elements (parents first). Names never condemn html, body, main, an article that is in no other, what
+    holds a main, what holds half of such articles' text, or, outside of those, most of the page's text."""
+    size: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    mains: set[int] = set()
+    if named and any(e.named for e in elements):
+        nested = set()
+        for e in elements:
+            if e.tag == "article" or id(e) in nested:
+                nested.update(id(x) for x in e.parts if not isinstance(x, str))
+        for e in reversed(elements):
+            n = a = 0
+            for x in e.parts:
+                if isinstance(x, str):
+                    n += len(x.strip())
+                elif not x.stated:
+                    n += size[id(x)]
+                    a += articles[id(x)]
+                    if id(x) in mains:
+                        mains.add(id(e))
+            if e.tag == "main":
+                mains.add(id(e))
+            size[id(e)], articles[id(e)] = n, n if e.tag == "article" and id(e) not in nested else a
+        total, written_in = size[id(elements[0])], articles[id(elements[0])]
+    for e in elements:
+        if e.path == "":
+            e.noise = False
+        own = e.noise or e.tag == "head" or (stated and e.stated)
+        if named and e.named and not own:
+            own = not (
+                e.tag in ("html", "body", "main")
+                or (e.tag == "article" and id(e) not in nested)
+                or id(e) in mains
+                or 2 * articles[id(e)] >= max(written_in, 1)
+                or (not e.main and 2 * size[id(e)] > total)
+            )
+        e.noise = own
+        for x in e.parts:
+            if not isinstance(x, str):
+                x.noise = own
+
+
+def _parse(page: str) -> Element:
+    root = Element("", "", (), False, False, False)
     stack = [root]
     at, end = 0, len(page)
     while at < end:
@@ -100,10 +172,9 @@ def parse(page: str) -> Element:
         up = stack[-1]
         names = _names(m[3])
         main = up.main or tag in MAIN
-        words = {w for x in names for w in _WORD.findall(_CAMEL.sub(r"\1 \2", x).lower())}
-        noise = up.noise or tag in HIDDEN or bool(words & NOISE) or (tag == "header" and not up.main) or (" hidden" in f" {m[3].lower()}" and re.search(r"\shidden(\s|=|$|/)", m[3].lower()) is not None)
+        stated = tag in HIDDEN or (tag == "header" and not up.main) or (" hidden" in f" {m[3].lower()}" and re.search(r"\shidden(\s|=|$|/)", m[3].lower()) is not None)
         style = _DIGITS.sub("0", ".".join(sorted(set(names)))).lower()
-        own = Element(tag, f"{up.path}/{tag}{'.' + style if style else ''}", (*up.above, up.path) if up.path else (), noise, main)
+        own = Element(tag, f"{up.path}/{tag}{'.' + style if style else ''}", (*up.above, up.path) if up.path else (), stated, _named(names), main)
         up.parts.append(own)
         if tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(own)
@@ -150,12 +221,38 @@ def features(page: str) -> list[tuple[str, tuple[str, ...], str, list[str]]]:
 
 
 def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
-    """The blocks of the main text, parted by blank lines: what is inside articles if there are any, else the whole body,
-    without noise and without the branches at the paths in low."""
-    root = parse(page)
-    elements = [e for e in _walk(root) if not e.noise]
-    inside = any(e.tag == "article" for e in elements) and "article" or (any(e.tag == "main" for e in elements) and "main") or None
+    """The blocks of the main text, parted by blank lines, without noise and without the branches at the paths in low: what is
+    inside articles if that is at least half of the text in main, or of the page's if it has no main, else main or the page."""
+    return _main_text(parse(page), low)
+
+
+def _inside(root: Element, cut: frozenset[str]) -> str | None:
+    """The tag whose elements hold the main text, or None for the whole page."""
+    n = {"": 0, "main": 0, "article": 0}
+    both = 0  # in an article in main
+    todo = [(root, False, False)]
+    while todo:
+        e, main, article = todo.pop()
+        if e.noise or e.path in cut:
+            continue
+        main, article = main or e.tag == "main", article or e.tag == "article"
+        for x in e.parts:
+            if isinstance(x, str):
+                size = len(x.strip())
+                n[""] += size
+                n["main"] += size * main
+                n["article"] += size * article
+                both += size * (main and article)
+            else:
+                todo.append((x, main, article))
+    if n["main"]:
+        return "article" if 2 * both >= n["main"] else "main"
+    return "article" if n["article"] and 2 * n["article"] >= n[""] else None
+
+
+def _main_text(root: Element, low: frozenset[str]) -> str:
     for cut in (low, frozenset()):
+        inside = _inside(root, cut)
         blocks: list[str] = []
         current: list[str] = []
 
@@ -255,14 +352,14 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", **tree) -
         for batch in batches:
             texts = []
             for page, nodes in zip(batch.column("_html").to_pylist(), batch.column("_low").to_pylist(), strict=True):
-                page = page or ""
+                root = parse(page or "")
                 cut: frozenset[str] = frozenset()
                 if nodes:
                     chosen = known.setdefault(tuple(nodes), frozenset(nodes))
-                    cut = frozenset(e.path for e in _walk(parse(page)) if e.path and _stable(e.path) in chosen)
+                    cut = frozenset(e.path for e in _walk(root) if e.path and _stable(e.path) in chosen)
                     if len(known) > 1000:
                         known.clear()
-                texts.append(main_text(page, cut))
+                texts.append(_main_text(root, cut))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in rest), "text", "n_chars"]
             )
