@@ -130,15 +130,17 @@ class Decoder:
         return bytes(_BYTE[x] for x in reversed(out))
 
 
-_EDGE = re.compile(rb"^(?:([^0-9a-z\x80-\xff])\1+)|(?:([^0-9a-z\x80-\xff])\2+)[.,;:]?$|[.,;:!?]+$")
+_EDGE = re.compile(rb"^(?:([^0-9a-z\x80-\xff@$|+(])\1+|([@$|+(])\2\2+)|(?:([^0-9a-z\x80-\xff@$|+(])\3+|([@$|+(])\4\4+)[.,;:]?$|[.,;:!?]+$")
 _SPACED = re.compile(rb"(?:(?<=\s)|^)(?:[a-z0-9@$!|+](?:[ .\-_*]{1,2})){2,}[a-z0-9@$!|+](?=[\s.,;:!?]|$)")
-_REPEAT = re.compile(rb"([a-z])\1\1")
+_REPEAT = re.compile(rb"([a-z])\1")
 _HAS_SIGN = re.compile(rb"[0-9@$!|+(]")
 _HAS_LETTER = re.compile(rb"[a-z\x80-\xff]")
 _INNER = re.compile(rb"[a-z][.\-_*][a-z][.\-_*][a-z]")
 
 _is_sign = np.zeros(256, bool)
 _is_sign[[*_SIGNS, *b".-_*"]] = True
+_is_point = np.zeros(256, bool)  # punctuation, if it ends a word
+_is_point[[*b".-_*!"]] = True
 
 
 def restored(chunk, k: int, low: bytes, odd: list[tuple[int, int]], decoder: Decoder) -> bytes:
@@ -161,13 +163,12 @@ def _restored_texts(column: pa.Array, decoder: Decoder) -> Iterator[bytes]:
         data = c.data
         low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         sign = _is_sign[low]
-        if len(low) > 2:
-            same = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] >= 97)
-            sign[2:] |= same
+        if len(low) > 1:
+            sign[1:] |= (low[1:] == low[:-1]) & (low[1:] >= 97) & (low[1:] <= 122)
         total = np.zeros(len(low) + 1, np.int64)
         np.cumsum(sign, out=total[1:])
-        # a single sign at a word's end is punctuation
-        last = _is_sign[low[np.maximum(c.end - 1, 0)]].astype(np.int64) if len(c.end) else np.zeros(0, np.int64)
+        # a single point at a word's end is punctuation; a digit or another sign there may be a letter
+        last = _is_point[low[np.maximum(c.end - 1, 0)]].astype(np.int64) if len(c.end) else np.zeros(0, np.int64)
         odd = np.flatnonzero(total[c.end] - total[c.start] - last > 0)
         of = c.doc[odd]
         edges = np.searchsorted(of, np.arange(c.n_docs + 1))
