@@ -1,9 +1,9 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of all n-grams (their hash order) is cut into fragments; a text's set of n-grams falls into one segment a
-fragment. Two sets of similarity t differ in at most (|x| + |y|) (1 - t) / (1 + t) n-grams, so if there are more fragments than
-that, some fragment has the same segment in both: equal segments are the keys under which sets meet, and no similar pair is
-missed. A meeting pair is verified by counting its overlap fragment by fragment and summing the partial counts.
+fragment. Two sets of similarity t differ in at most d = (|x| + |y|) (1 - t) / (1 + t) n-grams, so of more than d segments one is
+the same in both: equal segments are the keys under which sets meet, and no similar pair is missed (see Scheme). A meeting
+pair is verified by counting its overlap fragment by fragment and summing the partial counts.
 
 Groups of copies are never expanded into pairs. Equal sets are one class from the start. Each class is first compared with one
 other class, one that meets many, and what these links connect is one component. Pairs are then sought only between components,
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import as_bytes, spread, without, written
+from .store import as_bytes, forget, is_small, spread, without, written
 from .words import mix, scan, spaced, window_hashes
 
 ADDED = ("n_shingles", "component_id")
@@ -30,10 +30,12 @@ ADDED = ("n_shingles", "component_id")
 PARTS = 4
 #: Sets that share an n-gram up to which it counts as rare.
 RARE = 8
+#: Times that sets which share too few keys are left out.
+PRUNED = 2
 #: Keys that a task holds before it passes them on, which bounds its memory.
 HELD_KEYS = 400_000
-#: Rows up to which a table of ids is broadcast.
-SMALL = 500_000
+#: Bytes (as JSON) up to which a table of ids is broadcast.
+SMALL = 32_000_000
 _U = np.uint64
 
 
@@ -66,52 +68,70 @@ def _set_ids(n_docs: int, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Scheme:
-    """How many fragments a set of a given size has. Sizes are cut into classes by the factor 1 / t, so that similar sets are in
-    the same or in neighbouring classes; a set has keys for its own class and for the next."""
+    """Which segments of a set are its keys. Sizes are cut into classes by a factor of at least 1 / t, so that similar sets are in
+    the same class or in neighbouring ones; a set has keys for its own class and, if a similar set can be there, for the next.
+
+    Of a set's non-empty segments, in order, the first d + k are keys: d is the most n-grams in which it can differ from a
+    similar set, and k a number of the class. Similar sets then have at least k keys of the class in common: take the one whose
+    keys end first; at most d of its segments are not the other's as well, and the rest are among the keys of both. A set with
+    fewer segments has them all as keys, and the empty fragments as well, which the same count holds for. So no pair is lost,
+    and sets that share fewer keys than k, by a common passage for example, need no look. The lowest bit of a key is that of the
+    class's number."""
 
     def __init__(self, p: int, q: int):
         self.p, self.q = p, q
-        edges = [1]
-        while edges[-1] < 1 << 40:
-            edges.append(edges[-1] * q // p + 1)
-        self.edges = np.array(edges, np.int64)
+        self.edges = np.cumprod([1, *[max(2, -(-q // p))] * 40], dtype=np.float64).clip(max=2.0**60).astype(np.int64)
 
     def differ(self, total: np.ndarray) -> np.ndarray:
         """The most n-grams that similar sets with so many together can differ in."""
         return total * (self.q - self.p) // (self.q + self.p)
 
-    def levels(self, n: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, n, "right") - 1
+    def least(self, top: np.ndarray) -> np.ndarray:
+        """k of the class of sets up to a size."""
+        return 1 + self.differ(2 * top) // 4
+
+    def fragments(self, top: np.ndarray) -> np.ndarray:
+        """Fragments of a class of sets up to a size; some to spare for empty ones."""
+        n = self.differ(2 * top) + self.least(top)
+        return n + n * 15 // 100 + 8
 
-    def fragments(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fragments of a level (with some to spare for empty ones), and its largest size."""
-        top = self.edges[level + 1] - 1
-        d = self.differ(2 * top)
-        return d + 2 + d * 8 // 100, top
+    def needed(self, n: Column, key: Column) -> Column:
+        """k of the class that a key of a set of n n-grams belongs to."""
+        own = F.size(F.filter(F.array(*(F.lit(int(e)) for e in self.edges[:-2])), lambda e: e <= n)) - 1
+        level = own + (own + key) % 2
+        return F.element_at(F.array(*(F.lit(int(x)) for x in self.least(self.edges[1:] - 1))), (level + 1).cast("int"))
 
     def keys(self, n_docs: int, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, key) for all segments of all texts, at their own level and the next."""
+        """(text, key) of all texts; n-grams are ordered by text and hash."""
         n = np.bincount(doc, minlength=n_docs)
+        own = np.maximum(np.searchsorted(self.edges, n, "right") - 1, 0)
+        largest = n * self.q // self.p
         docs, keys = [], []
         for off in (0, 1):
-            level = np.maximum(self.levels(n), 0) + off
-            parts, top = self.fragments(level)
-            most = self.differ(n + np.minimum(top, n * self.q // self.p))
-            use = (most > 0)[doc]  # sets that can differ in nothing are the same class
+            level, top = own + off, self.edges[own + off + 1] - 1
+            # next class: only if a similar set can be in it
+            most = np.where(largest >= self.edges[level], self.differ(n + np.minimum(top, largest)), 0)
+            take = most + self.least(top)
+            parts = self.fragments(top)
+            odd = (level & 1).astype(_U)
+            use = (most > 0)[doc]  # sets that can differ in nothing are equal
             d, x = doc[use], h[use]
             if not len(d):
                 continue
             f = ((x >> _U(32)) * parts[d].astype(_U) >> _U(32)).astype(np.int64)
             start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (f[1:] != f[:-1])]))
-            seg = np.add.reduceat(mix(x), start)
+            segment = np.add.reduceat(mix(x), start)
             d, f = d[start], f[start]
-            docs.append(d)
-            keys.append(mix(seg + mix((level[d] << 34).astype(_U) + f.astype(_U))))
-            # where a set has so many empty fragments that all others may differ, empty ones are keys too
-            for k in np.flatnonzero((np.bincount(d, minlength=n_docs) <= most) & (most > 0)).tolist():
+            rank = np.arange(len(d)) - np.searchsorted(d, d)
+            few = (np.bincount(d, minlength=n_docs) < take) & (most > 0)
+            for k in np.flatnonzero(few).tolist():
                 empty = np.setdiff1d(np.arange(parts[k]), f[d == k])
                 docs.append(np.full(len(empty), k))
-                keys.append(mix(mix((level[k] << 34).astype(_U) + empty.astype(_U))))
+                keys.append(mix(mix((level[k] << 34).astype(_U) + empty.astype(_U))) & ~_U(1) | odd[k])
+            first = rank < take[d]
+            d, f, segment = d[first], f[first], segment[first]
+            docs.append(d)
+            keys.append(mix(segment + mix((level[d] << 34).astype(_U) + f.astype(_U))) & ~_U(1) | odd[d])
         if not docs:
             return np.zeros(0, np.int64), np.zeros(0, _U)
         return np.concatenate(docs), np.concatenate(keys)
@@ -163,8 +183,9 @@ def _shared(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _members(docs: DataFrame, text: str, width: int, scheme: Scheme, n_buckets: int) -> DataFrame:
-    """(key, id) for all keys that several sets share. A task names the sets that share a key among its own texts itself and
-    passes on only the least id, so that a key arrives at most once from each block of HELD_KEYS."""
+    """(key, id) for all keys that several sets share. A task names the sets that share a key among its own texts itself (they
+    go to any bucket under 0, which passes them through) and sends only the least id to the key's bucket, so that a key
+    arrives there at most once from each block of HELD_KEYS."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,22 +217,33 @@ def _members(docs: DataFrame, text: str, width: int, scheme: Scheme, n_buckets:
         keys, ids = keys[at], ids[at]
         yield from _packed(keys[first], ids[first], n_buckets)
         if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([keys[several].tobytes()], pa.binary()), pa.array([ids[several].tobytes()], pa.binary())], names=["bucket", "keys", "ids"])
+            any_bucket = -1 - int(keys[several][0] % _U(n_buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([any_bucket], pa.int32()), pa.array([keys[several].tobytes()], pa.binary()), pa.array([ids[several].tobytes()], pa.binary())], names=["bucket", "keys", "ids"])
 
     def meet(key, table):
         keys, ids = _unpacked(table)
         at, several, _ = _shared(keys, ids)
-        at = at[several]
+        if key[0].as_py() >= 0:
+            at = at[several]
         return pa.table({"key": pa.array(keys[at].view(np.int64), pa.int64()), "id": pa.array(ids[at], pa.int64())})
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, i in zip(batch.column("keys").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64), pa.int64()), pa.array(np.frombuffer(i, np.int64), pa.int64())], names=["key", "id"])
+    sent = docs.select(as_bytes(text).alias("_bytes")).mapInArrow(emit, _PACKED)
+    return sent.groupBy("bucket").applyInArrow(meet, "key long, id long").distinct()
+
+
+def _odd() -> Column:
+    """The lowest bit of a key."""
+    return F.col("key").bitwiseAND(F.lit(1))
+
 
-    sent = written(docs.select(as_bytes(text).alias("_bytes")).mapInArrow(emit, _PACKED), "keys")
-    met = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "key long, id long")
-    return met.unionByName(sent.where("bucket < 0").mapInArrow(own, "key long, id long")).distinct()
+def _worth_a_look(members: DataFrame, sizes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Members (key, id) without those of sets that share too few keys of a class with all others together, and without keys
+    that a single set is left at. sizes: id, n."""
+    counts = members.groupBy("id", _odd().alias("odd")).agg(F.count("*").alias("c")).join(sizes, "id")
+    enough = counts.where(F.col("c") >= scheme.needed(F.col("n"), F.col("odd"))).select("id", "odd")
+    left = members.withColumn("odd", _odd()).join(enough, ["id", "odd"], "left_semi").drop("odd")
+    several = left.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    return left.join(several, "key", "left_semi").select("key", "id")
 
 
 def _segments(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -231,7 +263,7 @@ def _segments(docs: DataFrame, key: str, text: str, width: int, wanted: DataFram
                     if edge[k] == edge[k + 1] or ids[at + k] not in (None, own_ids[k]):
                         continue
                     own = h[edge[k] : edge[k + 1]]
-                    cut = np.searchsorted(own >> _U(62), np.arange(PARTS + 1, dtype=_U)) if PARTS == 4 else None
+                    cut = np.searchsorted((own >> _U(32)) * _U(PARTS) >> _U(32), np.arange(PARTS + 1, dtype=_U))
                     rows += [(own_ids[k], part, len(own), own[cut[part] : cut[part + 1]].tobytes()) for part in range(PARTS)]
                 at += n_docs
             if rows:
@@ -239,14 +271,16 @@ def _segments(docs: DataFrame, key: str, text: str, width: int, wanted: DataFram
 
     rows = docs.select(F.col(key).alias("_doc"), as_bytes(text).alias("_bytes"))
     wanted = written(wanted, "wanted")
-    small = wanted.count() <= SMALL
+    small = is_small(wanted, SMALL)
     schema = "id long, part int, n long, seg binary"
     found = rows.join(F.broadcast(wanted) if small else wanted, "_doc").select("_bytes", "id").mapInArrow(run, schema)
     unnamed = wanted.where("_doc is null").select("id")
     if not unnamed.isEmpty():
         others = rows.where("_doc is null").select("_bytes", F.lit(None).cast("long").alias("id")).mapInArrow(run, schema)
         found = found.unionByName(others.join(F.broadcast(unnamed) if small else unnamed, "id", "left_semi"))
-    return written(found, "segments").dropDuplicates(["id", "part"])
+    out = written(found.dropDuplicates(["id", "part"]), "segments")
+    forget(wanted)
+    return out
 
 
 def _links(pairs: DataFrame, segments: DataFrame, p: int, q: int) -> DataFrame:
@@ -269,8 +303,9 @@ def _links(pairs: DataFrame, segments: DataFrame, p: int, q: int) -> DataFrame:
     return sums.where(q * F.col("s") >= p * (F.col("t") - F.col("s"))).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """id and root (the least id) of everything that the links (a, b) connect, by alternating large and small stars."""
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """id and root (the least id) of everything that the links (a, b) connect, by alternating large and small stars. Rounds are
+    in the order of the logarithm of the longest chain; should so many not be enough, that is an error and no partial result."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
@@ -279,13 +314,18 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = written(small, "edges")
+        last, edges = edges, written(small, "edges")
+        forget(last)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return written(roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct(), "roots")
+    roots = written(roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct(), "roots")
+    forget(edges)
+    return roots
 
 
 def _rare(segments: DataFrame, n_buckets: int) -> DataFrame:
@@ -364,24 +404,31 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scheme = Scheme(p, q)
     features = written(_features(docs, key, text, width), "features")
     size = features.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    per_set = 2 * 2 * (q - p) / (q + p) * 16
-    n_buckets = spread(size * per_set, 12_000_000, spark)
-    classes = features.where("_id is not null").groupBy(F.col("_id").alias("id")).agg(F.min("_doc").alias("_doc"), F.count("*").alias("_rows"))
+    per_gram = 2 * (q / p + 1) * (q - p) / (q + p) * 16
+    n_buckets = spread(size * per_gram, 12_000_000, spark)
+    classes = features.where("_id is not null").groupBy(F.col("_id").alias("id")).agg(F.min("_doc").alias("_doc"), F.count("*").alias("_rows"), F.first("n_shingles").alias("n"))
+    classes = written(classes, "classes")
     members = written(_members(docs, text, width, scheme, n_buckets), "members")
+    for _ in range(PRUNED):
+        before, members = members, written(_worth_a_look(members, classes.select("id", "n"), scheme), "members")
+        forget(before)
     # one candidate for each class: of the sets at its keys the one that meets most others, which is what copies resemble
     meets = members.join(members.groupBy("key").agg((F.count("*") - 1).alias("c")), "key").groupBy("id").agg(F.sum("c").alias("met"))
     heads = members.join(meets, "id").groupBy("key").agg(F.max(F.struct("met", F.col("id").alias("head"))).alias("h")).select("key", "h.head")
-    stars = members.join(heads, "key").where("id <> head").groupBy("id", "head").agg(F.count("*").alias("c")).groupBy("id").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
+    stars = members.join(heads, "key").where("id <> head").groupBy("id", "head", _odd().alias("odd")).agg(F.count("*").alias("c"))
+    stars = stars.groupBy("id").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
     stars = written(stars.select(F.col("id").alias("a"), F.col("head").alias("b")), "stars")
     candidates = members.select("id").distinct()
     segments = _segments(docs, key, text, width, classes.join(candidates, "id").select("_doc", "id"))
     first = written(_links(stars, segments, p, q), "links")
     roots = components(first)
+    forget(stars, first)
     # keys shared by several components, and what can still link there
     own = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = segments.where("part = 0").select("id", "n")
+    sizes = classes.select("id", "n")
     open_keys = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     open_members = written(own.join(open_keys, "key", "left_semi").join(sizes, "id"), "open")
+    forget(members)
     # n-grams that few others have leave a set little room; pairs that share such n-grams are looked at one by one
     rare = _rare(segments.join(open_members.select("id").distinct(), "id", "left_semi"), n_buckets)
     few = rare.where("b is null").select(F.col("a").alias("id"), F.col("n").alias("u"))
@@ -395,17 +442,24 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     close = close.where((F.col("root_a") != F.col("root_b")) & ((p + q) * most >= p * (F.col("n_a") + F.col("n_b")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     counts = left.groupBy("key", "root").agg(F.count("*").alias("c"))
     largest = counts.groupBy("key").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("_most"), F.count("*").alias("_roots")).where("_roots > 1").drop("_roots")
-    fewer = left.join(largest, "key").where("root <> _most").drop("_most")
+    fewer = left.join(largest, "key").where("root <> _most")
     other = left.select("key", *(F.col(c).alias(f"_{c}") for c in ("id", "root", "n", "low", "high")))
     room = (F.col("root") != F.col("_root")) & F.col("_n").between(F.col("low"), F.col("high")) & F.col("n").between(F.col("_low"), F.col("_high"))
-    pairs = fewer.join(other, "key").where(room).select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b")).unionByName(close).distinct()
+    # a pair counts once at a key: from the one that is not of the largest component, or else from the larger id
+    once = (F.col("_root") == F.col("_most")) | (F.col("id") > F.col("_id"))
+    met = fewer.join(other, "key").where(room & once).select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"), _odd().alias("odd"), "n")
+    met = met.groupBy("a", "b", "odd").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= scheme.needed(F.col("n"), F.col("odd")))
+    pairs = met.select("a", "b").unionByName(close).distinct()
     second = written(_links(pairs, segments, p, q), "links")
+    forget(open_members, rare, left, segments)
     # first links are given by their roots, so the last round works on few edges
-    roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second))
+    known, roots = roots, components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second))
+    forget(known, second)
     named = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("_doc").alias("component_id"), F.sum("_rows").alias("_size")).where("_size > 1").drop("_size")
     final = written(named.join(least, "root").select(F.col("id").alias("_id"), "component_id"), "components")
-    if final.limit(SMALL + 1).count() <= SMALL:
+    forget(roots)
+    if is_small(final, SMALL):
         final = F.broadcast(final)
     out = features.join(final, "_id", "left").select("_doc", "n_shingles", F.coalesce("component_id", "_doc").alias("component_id"))
     return out.withColumnRenamed("_doc", key)

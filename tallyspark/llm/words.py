@@ -2,12 +2,13 @@
 
 A batch of texts is handled as one byte buffer: a table says which bytes part words, cumulative sums give each word a 64-bit
 hash, and no Python object is made for a word. Bytes of 0x80 and above are never separators here, so scanning UTF-8 bytes
-gives the same words as scanning code points. Equal words have equal hashes; words that differ have equal hashes with a
-probability of about 2**-64 a pair.
+gives the same words as scanning code points. Equal words have equal hashes. The sums are taken modulo 2**64, where long words
+can be built that differ and yet have equal sums (it takes 2**10 bytes or more), so words over LONG bytes have a cryptographic hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ import pyarrow as pa
 
 #: Texts are scanned in chunks of about this many bytes (one longer text is a chunk of its own).
 CHUNK_BYTES = 1 << 19
+#: Words of more bytes are hashed one by one.
+LONG = 128
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
 
@@ -156,6 +159,8 @@ def _chunk(first: int, offsets: np.ndarray, data: np.ndarray, rule: Rule) -> Chu
     total = np.zeros(size + 1, np.uint64)
     np.cumsum(_BYTE[rule.folded[data]] * up[:size], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > LONG).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(rule.folded[data[start[k] : end[k]]].tobytes(), digest_size=8).digest(), "little")
     bounds = np.zeros(len(offsets), np.int64)
     np.cumsum(np.bincount(doc, minlength=len(offsets) - 1), out=bounds[1:])
     return Chunk(first, data, offsets, start, end, doc, hashes, bounds)

@@ -233,6 +233,6 @@ def test_large_lists_are_joined_with_salted_keys(spark, monkeypatch):
 
     pages = spark.createDataFrame([(i, "http://a.example/", f"<p>menu</p><p>{i}</p>") for i in range(40)] + [(99, None, "<p>menu</p>")], "page_id long, url string, html string")
     want = sorted(map(tuple, drop_site_lines(pages, html_lines("html"), host_of("url")).collect()))
-    monkeypatch.setattr(store, "SMALL_ROWS", 0)
+    monkeypatch.setattr(store, "SMALL_BYTES", 0)
     assert sorted(map(tuple, drop_site_lines(pages, html_lines("html"), host_of("url")).collect())) == want
     assert sum(r[-2] for r in want) == 40
