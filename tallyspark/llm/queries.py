@@ -45,7 +45,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).drop("text")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), keep_text=False)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
