@@ -1,6 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, mixing, shards.
 
-Each stage works on all that the one before it kept; its result is written as Parquet and read again.
+Each stage works on all that the one before it kept; its result is written as Parquet and read again. For every stage: an empty
+table gives an empty result; other columns of docs go along unchanged, whatever their names; repeated rows are rows of their own
+(copies of each other in near_duplicates, which keeps one).
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ from tallyspark.llm.jaccard import SMALL, similar_components
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.outliers import estimates, judged, statistics
 from tallyspark.llm.sharding import assign_shards
-from tallyspark.llm.store import table, written
+from tallyspark.llm.store import forget, is_small, table, written
 
 #: The byte limit of a shard.
 SHARD_BYTES = 16_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither fail the base rules nor are robust outliers of their language and source."""
+    """Documents that neither fail the base rules nor are robust outliers of their language and source. Null and empty texts have
+    no words and fail the base rules; null languages and sources are values of their own."""
     estimate = estimates(written(statistics(docs), "counts"))
     return judged(statistics(docs, keep_text=True), estimate).where("kept").select(docs.columns)
 
@@ -34,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("_row").alias("row"))
     found = similar_components(rows.select(key.alias("_key"), "text"), "_key", width=5, p=80, q=100)
     gone = written(found.where("_key <> component_id").select(F.col("_key.row").alias("_row")), "copies")
-    if gone.limit(SMALL + 1).count() <= SMALL:
+    if is_small(gone, SMALL):
         gone = F.broadcast(gone)
     return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
@@ -52,19 +55,22 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated; passages of test items too short a part of a document to condemn it are cut."""
+    """Documents that are not contaminated; passages of test items too short a part of a document to condemn it are cut. Null and
+    empty texts have no words and stay as they are; without test items everything stays."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), cut=True).where(~contaminated())
     text = F.coalesce("clean_text", "text")
     return found.withColumns({"text": text, "n_chars": F.when(F.col("clean_text").isNull(), F.col("n_chars")).otherwise(F.length("clean_text").cast("long"))}).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected tokens meet the tempered shares of sources, languages and topics."""
+    """A sample whose expected tokens meet the tempered shares of sources, languages and topics. Rows with equal keys are drawn
+    alike; null keys, sources and languages count as empty ones."""
     return mix(docs).where("sampled").select(docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of each document."""
+    """The shard of each document. Null texts have no bytes; rows with equal or null keys share a shard unless they exceed the
+    limit together; a row over the limit has a shard of its own."""
     return assign_shards(docs.select("doc_id", "text"), limit=SHARD_BYTES).select("doc_id", "bytes", "shard", "depth", "shard_bytes")
 
 
@@ -77,6 +83,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
