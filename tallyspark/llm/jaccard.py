@@ -7,9 +7,9 @@ pair is verified by counting its overlap fragment by fragment and summing the pa
 
 Groups of copies are never expanded into pairs. Equal sets are one class from the start. Each class is first compared with one
 other class, one that meets many, and what these links connect is one component. Pairs are then sought only between components,
-only where a key is shared, and only where the sizes leave room for a link after the n-grams that at most RARE candidates have;
-sets that share such n-grams are paired by them, and their count bounds the overlap. All other pairs cannot link or are connected
-already.
+only where enough keys are shared, only where the sizes leave room for a link after the n-grams that at most RARE candidates have
+(sets that share such n-grams are paired by them, and their count bounds the overlap), and only where the sets' sketches do not
+differ in more bits than similar sets can differ in n-grams. All other pairs cannot link or are connected already.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ ADDED = ("n_shingles", "component_id")
 PARTS = 4
 #: Sets that share an n-gram up to which it counts as rare.
 RARE = 8
+#: Bits of a set's sketch, and the columns that hold them.
+BITS = 1024
+_SKETCH = tuple(f"b{k}" for k in range(BITS // 64))
 #: Times that sets which share too few keys are left out.
 PRUNED = 2
 #: Keys that a task holds before it passes them on, which bounds its memory.
@@ -247,8 +250,8 @@ def _worth_a_look(members: DataFrame, sizes: DataFrame, scheme: Scheme) -> DataF
 
 
 def _segments(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """id, part, n, and seg: the hashes (sorted, packed) of each wanted set that fall into each of PARTS fragments. wanted has
-    _doc and id: a text that has the set. Other rows may have that _doc too, and sets of rows without one have a null _doc, so
+    """id, part, n, and seg: the hashes (sorted, packed) of each wanted set that fall into each of PARTS fragments, and as part -1
+    its parity sketch (see _sketches). wanted has _doc and id: a text that has the set. Other rows may have that _doc too, and sets of rows without one have a null _doc, so
     each task names the sets of its rows again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +268,7 @@ def _segments(docs: DataFrame, key: str, text: str, width: int, wanted: DataFram
                     own = h[edge[k] : edge[k + 1]]
                     cut = np.searchsorted((own >> _U(32)) * _U(PARTS) >> _U(32), np.arange(PARTS + 1, dtype=_U))
                     rows += [(own_ids[k], part, len(own), own[cut[part] : cut[part + 1]].tobytes()) for part in range(PARTS)]
+                    rows.append((own_ids[k], -1, len(own), np.packbits(np.bincount((own % _U(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()))
                 at += n_docs
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["id", "part", "n", "seg"])
@@ -283,6 +287,18 @@ def _segments(docs: DataFrame, key: str, text: str, width: int, wanted: DataFram
     return out
 
 
+def _sketches(segments: DataFrame) -> DataFrame:
+    """id and b0, b1, ...: BITS bits, of which each n-gram of the set flips one. An n-gram that two sets have flips the same bit
+    in both, so their sketches differ in no more bits than they differ in n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BITS // 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in bits.T)], names=["id", *_SKETCH])
+
+    return segments.where("part = -1").select("id", "seg").mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *_SKETCH)))
+
+
 def _links(pairs: DataFrame, segments: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) that are similar: overlaps are counted in each fragment and summed."""
 
@@ -368,7 +384,7 @@ def _rare(segments: DataFrame, n_buckets: int) -> DataFrame:
         own = pairs[0] == pairs[1]
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64(), mask=own), "n": pa.array(np.bincount(at.ravel(), weights=n, minlength=len(own)).astype(np.int64), pa.int64())})
 
-    found = segments.select("id", "seg").mapInArrow(emit, _PACKED).groupBy("bucket").applyInArrow(count, "bucket int, a binary, b binary, n binary")
+    found = segments.where("part >= 0").select("id", "seg").mapInArrow(emit, _PACKED).groupBy("bucket").applyInArrow(count, "bucket int, a binary, b binary, n binary")
     return written(found.groupBy("bucket").applyInArrow(total, "a long, b long, n long"), "rare")
 
 
@@ -434,7 +450,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     few = rare.where("b is null").select(F.col("a").alias("id"), F.col("n").alias("u"))
     bare = open_members.join(few, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     low, high = _room(F.col("n"), F.col("u"), p, q)
-    left = written(bare.withColumns({"low": low, "high": high}).where("high >= low"), "room")
+    left = written(bare.withColumns({"low": low, "high": high}).where("high >= low").join(_sketches(segments), "id"), "room")
     each = bare.select("id", "root", "n", "u").distinct()
     one, two = (each.select(*(F.col(c).alias(f"{c}_{x}") for c in each.columns)) for x in "ab")
     close = rare.where("b is not null").withColumnRenamed("n", "s").join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
@@ -443,8 +459,10 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     counts = left.groupBy("key", "root").agg(F.count("*").alias("c"))
     largest = counts.groupBy("key").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("_most"), F.count("*").alias("_roots")).where("_roots > 1").drop("_roots")
     fewer = left.join(largest, "key").where("root <> _most")
-    other = left.select("key", *(F.col(c).alias(f"_{c}") for c in ("id", "root", "n", "low", "high")))
+    other = left.select("key", *(F.col(c).alias(f"_{c}") for c in ("id", "root", "n", "low", "high", *_SKETCH)))
     room = (F.col("root") != F.col("_root")) & F.col("_n").between(F.col("low"), F.col("high")) & F.col("n").between(F.col("_low"), F.col("_high"))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in _SKETCH), F.lit(0))
+    room &= apart <= F.expr(f"(n + _n) * {q - p} div {q + p}")
     # a pair counts once at a key: from the one that is not of the largest component, or else from the larger id
     once = (F.col("_root") == F.col("_most")) | (F.col("id") > F.col("_id"))
     met = fewer.join(other, "key").where(room & once).select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"), _odd().alias("odd"), "n")
