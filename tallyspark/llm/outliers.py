@@ -1,10 +1,14 @@
 """Quality rules: robust multivariate outliers.
 
 Each text gets a vector of transformed statistics. For every language and source a minimum-covariance-determinant estimate of
-the vectors' centre and spread is found by concentration steps over all rows: starting from medians and quartile ranges, each
-step keeps the part of the rows that lie closest by Mahalanobis distance and takes their mean and covariance. A step is one
-aggregation by group and distance bin, with partial sums before the shuffle, so a group that holds a third of all rows costs
-no task more than its share. Rows beyond a quantile of the chi-squared law are rejected.
+the vectors' centre and spread is found by concentration steps over all rows: each step keeps the part of the rows that lie
+closest by Mahalanobis distance and takes their mean and covariance, which never raises the determinant; steps end when it falls
+no more. Two starts are taken (medians with quartile ranges; the same medians with the covariance of signs), and the one that
+ends at the least determinant is the estimate. A step is one aggregation by group, start and distance bin, with partial sums
+before the shuffle, so a group that holds a third of all rows costs no task more than its share.
+
+A statistic of a short text scatters more than that of a long one. So a text's distance is taken under its group's covariance
+plus the sampling variance that its own length gives each statistic, and texts beyond a quantile of the chi-squared law go.
 """
 
 from __future__ import annotations
@@ -13,13 +17,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import as_bytes, without, written
+from .store import as_bytes, forget, left_join_small, without, written
 from .words import scan, spaced
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -33,21 +36,20 @@ _is_mark[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b not in SYMB
 _is_upper = np.zeros(256, bool)
 _is_upper[65:91] = True
 
-#: The 0.999 quantile for six statistics. In a group that has no repeats, duplicated lines alone pass it above the share MOST_LINES;
-#: repeated words, on which the base rule decides alone, reach half of it at that rule's limit MOST_REPEATS.
-CUT = 22.45774
-MOST_REPEATS, MOST_LINES = 0.30, 0.40
-
-#: The vector: (name, SQL over the counts, least standard deviation that a group is taken to have).
+#: The vector: (name, SQL over the counts, SQL of its sampling variance in a text). The square root of a share has a variance of
+#: 1 / (4 n); the logarithm of a mean that of the mean over its square (word lengths have a squared coefficient of variation of
+#: about 0.3); repeated words come in two runs of WINDOW at least, so n of them are worth n / (2 WINDOW).
 VECTOR = (
-    ("z_length", "ln(word_chars / greatest(n_words, 1))", 0.06),
-    ("z_symbols", "sqrt(n_symbols / greatest(word_chars, 1))", 0.06),
-    ("z_upper", "sqrt(n_upper / greatest(word_chars, 1))", 0.06),
-    ("z_marks", "sqrt(n_marks / greatest(word_chars, 1))", 0.06),
-    ("z_repeats", "sqrt(n_repeat_words / greatest(n_words, 1))", math.sqrt(2 * MOST_REPEATS / CUT)),
-    ("z_lines", "sqrt(n_dup_lines / greatest(n_lines, 1))", math.sqrt(MOST_LINES / CUT)),
+    ("z_length", "ln(word_chars / greatest(n_words, 1))", "0.3 / greatest(n_words, 1)"),
+    ("z_symbols", "sqrt(n_symbols / greatest(word_chars, 1))", "0.25 / greatest(word_chars, 1)"),
+    ("z_upper", "sqrt(n_upper / greatest(word_chars, 1))", "0.25 / greatest(word_chars, 1)"),
+    ("z_marks", "sqrt(n_marks / greatest(word_chars, 1))", "0.25 / greatest(word_chars, 1)"),
+    ("z_repeats", "sqrt(n_repeat_words / greatest(n_words, 1))", f"{WINDOW / 2} / greatest(n_words, 1)"),
+    ("z_lines", "sqrt(n_dup_lines / greatest(n_lines, 1))", "0.25 / greatest(n_lines, 1)"),
 )
 _D = len(VECTOR)
+#: Added to variances, so that a statistic that never varies in a group has an inverse.
+_RIDGE = 1e-6
 
 
 def _count(column: pa.Array) -> list[np.ndarray]:
@@ -87,20 +89,17 @@ def _count(column: pa.Array) -> list[np.ndarray]:
 
 def statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs (without the text, unless keep_text) with the counts of COUNTS (long) for each whole text. A null or empty text has zeros; rows are counted each on
-    their own, so ties and repeated rows change nothing; columns whose names clash are replaced."""
-    rows = without(docs, *COUNTS, "_bytes").withColumn("_bytes", as_bytes(text))
-    rows = rows if keep_text else rows.drop(text)
-    base = rows.drop("_bytes")
+    their own, so ties and repeated rows change nothing; columns whose names clash are replaced. Only the texts go to Python."""
+    kind = T.StructType([T.StructField(x, T.LongType()) for x in COUNTS])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("_bytes")
-            keep = [k for k in range(batch.num_columns) if k != at]
-            counts = [pa.array(x, pa.int64()) for x in _count(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *counts], names=[*(batch.schema.names[k] for k in keep), *COUNTS])
+    @F.arrow_udf(kind)
+    def counted(column):
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in _count(column)], names=list(COUNTS))
 
-    schema = T.StructType([*base.schema.fields, *(T.StructField(x, T.LongType()) for x in COUNTS)])
-    return rows.mapInArrow(run, schema)
+    rows = without(docs, *(c for c in COUNTS if c != text), "_counts")
+    # a text is counted once, wherever the counts are used
+    rows = rows.withColumn("_counts", counted.asNondeterministic()(as_bytes(text)))
+    return rows.select(*(c for c in rows.columns if c != "_counts" and (keep_text or c != text)), "_counts.*")
 
 
 def base_failed() -> Column:
@@ -130,77 +129,117 @@ def _chi_squared_below(x: float, d: int) -> float:
     return min(1.0, total * math.exp(-z + a * math.log(z) - math.lgamma(a)))
 
 
-def estimates(counts: DataFrame, lang: str = "lang", source: str = "source", part: float = 0.75, steps: int = 4, min_group: int = 60) -> DataFrame:
-    """The estimate of each language and source in counts (from statistics()): _l, _s, centre and root, where the squared
-    length of root x (vector - centre) is the squared Mahalanobis distance.
+def estimates(counts: DataFrame, lang: str = "lang", source: str = "source", part: float = 0.75, min_group: int = 60, steps: int = 60) -> DataFrame:
+    """The estimate of each language and source in counts (from statistics()): _l, _s, centre and spread (the covariance, row by
+    row).
 
-    Nulls are a value of their own. The rows of groups under min_group are pooled by language, and pools still under it are
-    pooled together; if that is under it too, its groups are left out. Rows that base_failed have no say. Standard
-    deviations are taken to be at least those in VECTOR, so groups in which a statistic never varies have an estimate too.
+    Nulls are a value of their own. An estimate of six statistics needs ten rows for each: the rows of groups under min_group
+    are pooled by language, and pools still under it are pooled together; if that is under it too, its groups are left out.
+    Rows that base_failed have no say. Should a determinant still fall after so many steps, that is an error.
     """
-    fit = counts.where(~base_failed()).select(F.col(lang).alias("_l"), F.col(source).alias("_s"), *(F.expr(sql).alias(z) for z, sql, _ in VECTOR))
+    z = [name for name, _, _ in VECTOR]
+    fit = counts.where(~base_failed()).select(F.col(lang).alias("_l"), F.col(source).alias("_s"), *(F.expr(sql).alias(name) for name, sql, _ in VECTOR))
     size = fit.groupBy("_l", "_s").agg(F.count("*").alias("_n"))
     pool = size.where(F.col("_n") < min_group).groupBy(F.col("_l").alias("_pl")).agg(F.sum("_n").alias("_pn"))
     group = F.when(F.col("_n") >= min_group, F.to_json(F.array("_l", "_s"))).when(F.col("_pn") >= min_group, F.to_json(F.array("_l"))).otherwise("[]")
     names = written(size.join(pool, F.col("_l").eqNullSafe(F.col("_pl")), "left").select("_l", "_s", group.alias("grp")), "groups")
     of = names.select(F.col("_l").alias("_gl"), F.col("_s").alias("_gs"), "grp")
-    fit = written(fit.join(of, F.col("_l").eqNullSafe(F.col("_gl")) & F.col("_s").eqNullSafe(F.col("_gs"))).select("grp", *(z for z, _, _ in VECTOR)), "vectors")
-    quartiles = [F.percentile(F.round(z, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(z) for z, _, _ in VECTOR]
-    start = fit.groupBy("grp").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= min_group)
-    spread = [F.greatest((F.col(z)[2] - F.col(z)[0]) / 1.349, F.lit(least)) for z, _, least in VECTOR]
-    root = F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(_D) for j in range(_D)))
-    estimate = start.select("grp", F.array(*(F.col(z)[1] for z, _, _ in VECTOR)).alias("centre"), root.alias("root"))
+    fit = written(fit.join(of, F.col("_l").eqNullSafe(F.col("_gl")) & F.col("_s").eqNullSafe(F.col("_gs"))).select("grp", *z), "vectors")
+    quartiles = [F.percentile(F.round(x, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in z]
+    middle = written(fit.groupBy("grp").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= min_group), "quartiles")
+    wide = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(math.sqrt(_RIDGE))) for x in z]
+    centre = F.array(*(F.col(x)[1] for x in z))
+    ranges = F.array(*(wide[i] * wide[i] if i == j else F.lit(0.0) for i in range(_D) for j in range(_D)))
+    signs = fit.join(middle.select("grp", *(F.col(x)[1].alias(f"_{x}") for x in z)), "grp").select("grp", *(F.signum(F.col(x) - F.col(f"_{x}")).alias(x) for x in z))
+    signs = signs.groupBy("grp").agg(*(F.avg(F.col(z[i]) * F.col(z[j])).alias(f"_{i}_{j}") for i in range(_D) for j in range(_D)))
+    signed = F.array(*(wide[i] * wide[j] * (F.col(f"_{i}_{j}") + (0.05 if i == j else 0.0)) for i in range(_D) for j in range(_D)))
+    start = middle.join(signs, "grp").select("grp", centre.alias("centre"), F.explode(F.array(*(F.struct(F.lit(k).alias("start"), m.alias("spread")) for k, m in enumerate((ranges, signed))))).alias("s"))
+    moving = start.select("grp", "s.start", "centre", "s.spread", F.lit(float("inf")).alias("logdet"), F.lit(False).alias("done"))
+    estimate = written(moving.select("grp", "start", "centre", "spread", "logdet", "done").mapInArrow(_rooted, _ESTIMATE), "estimate")
     for _ in range(steps):
-        estimate = _concentrate(fit, written(estimate, "estimate"), part)
-    return written(names.join(written(estimate, "estimate"), "grp").drop("grp"), "estimates")
+        before, still = estimate, estimate.where("not done")
+        if still.isEmpty():
+            break
+        estimate = written(before.where("done").unionByName(_concentrate(fit, still, part)), "estimate")
+        forget(before)
+    else:
+        raise RuntimeError(f"some determinants still fall after {steps} steps")
+    best = estimate.groupBy("grp").agg(F.min_by(F.struct("centre", "spread"), F.struct("logdet", "start")).alias("b"))
+    out = written(names.join(best, "grp").select("_l", "_s", "b.centre", "b.spread"), "estimates")
+    forget(names, fit, middle, estimate)
+    return out
 
 
 def judged(counts: DataFrame, estimate: DataFrame, lang: str = "lang", source: str = "source", alpha: float = 1e-3) -> DataFrame:
     """Rows of counts with base_failed, distance (squared Mahalanobis; null without an estimate) and kept: neither
     base_failed nor beyond the chi-squared quantile 1 - alpha. Rows without an estimate are kept unless base_failed."""
-    rows = without(counts, "base_failed", "distance", "kept", "_l", "_s", "centre", "root", *(z for z, _, _ in VECTOR))
-    names = rows.columns
-    rows = rows.withColumn("base_failed", base_failed()).select("*", *(F.expr(sql).alias(z) for z, sql, _ in VECTOR))
-    rows = rows.join(estimate, F.col(lang).eqNullSafe(F.col("_l")) & F.col(source).eqNullSafe(F.col("_s")), "left").withColumn("distance", _distance())
+
+    @F.arrow_udf(T.DoubleType())
+    def distance(vector, noise, centre, spread):
+        out = np.full(len(vector), np.nan)
+        known = np.flatnonzero(centre.is_valid().to_numpy(zero_copy_only=False))
+        if len(known):
+            flat = lambda x: x.take(pa.array(known)).flatten().to_numpy(zero_copy_only=False)
+            off = flat(vector).reshape(-1, _D) - flat(centre).reshape(-1, _D)
+            cov = flat(spread).reshape(-1, _D, _D).copy()
+            cov[:, range(_D), range(_D)] += flat(noise).reshape(-1, _D)
+            out[known] = np.einsum("ij,ij->i", off, np.linalg.solve(cov, off[..., None])[..., 0])
+        return pa.array(out, pa.float64(), mask=np.isnan(out))
+
+    rows = without(counts, "base_failed", "distance", "kept", "_l", "_s", "centre", "spread", "_group", "_of")
+    group = lambda a, b: F.to_json(F.array(F.col(a).cast("string"), F.col(b).cast("string")))
+    keyed = estimate.select(group("_l", "_s").alias("_of"), "centre", "spread")
+    far = distance(F.array(*(F.expr(sql) for _, sql, _ in VECTOR)), F.array(*(F.expr(sql).cast("double") for _, _, sql in VECTOR)), F.col("centre"), F.col("spread"))
     cut = chi_squared(1 - alpha, _D)
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)).select(*names, "base_failed", "distance", "kept")
+    out = left_join_small(rows.withColumns({"base_failed": base_failed(), "_group": group(lang, source)}), keyed, "_group", "_of").withColumn("distance", far)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)).select(*rows.columns, "base_failed", "distance", "kept")
+
+
+_ESTIMATE = "grp string, start int, centre array<double>, spread array<double>, logdet double, done boolean, root array<double>"
+
 
+def _root(spread: np.ndarray) -> list[float]:
+    """The squared length of root x (vector - centre) is the squared distance."""
+    return np.linalg.inv(np.linalg.cholesky(spread)).ravel().tolist()
 
-def _distance() -> Column:
-    """The squared length of root x (vector - centre)."""
-    off = [F.col(z) - F.col("centre")[i] for i, (z, _, _) in enumerate(VECTOR)]
-    total = None
-    for i in range(_D):
-        x = None
-        for j in range(i + 1):
-            term = F.col("root")[i * _D + j] * off[j]
-            x = term if x is None else x + term
-        total = x * x if total is None else total + x * x
-    return total
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roots = [_root(np.array(x).reshape(_D, _D)) for x in batch.column("spread").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.list_(pa.float64()))], names=[*batch.schema.names, "root"])
 
 
 def _concentrate(fit: DataFrame, estimate: DataFrame, part: float) -> DataFrame:
     """One concentration step: the rows of the nearest bins, until they are the wanted part, give the next estimate."""
     z = [name for name, _, _ in VECTOR]
-    near = fit.join(estimate, "grp").withColumn("bin", F.floor(8 * F.log2(_distance() + 1e-6)).cast("int"))
-    pairs = [(i, j) for i in range(_D) for j in range(i + 1)]
-    sums = near.groupBy("grp", "bin").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(z)), *(F.sum(F.col(z[i]) * F.col(z[j])).alias(f"p{i}_{j}") for i, j in pairs))
-    floors = np.array([f for _, _, f in VECTOR])
     d = _D
 
+    off = [F.col(name) - F.col("centre")[i] for i, name in enumerate(z)]
+    rows = [sum((F.col("root")[i * d + j] * off[j] for j in range(i + 1)), F.lit(0.0)) for i in range(d)]
+    far = sum((x * x for x in rows), F.lit(0.0))
+    known = estimate.select("grp", "start", "centre", "root", F.col("logdet").alias("last"))
+    near = fit.join(known, "grp").withColumn("bin", F.floor(64 * F.log2(far + 1e-9)).cast("int"))
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    sums = near.groupBy("grp", "start", "bin").agg(
+        F.first("last").alias("last"), F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(z)), *(F.sum(F.col(z[i]) * F.col(z[j])).alias(f"p{i}_{j}") for i, j in pairs)
+    )
+    consistent = part / _chi_squared_below(chi_squared(part, d), d + 2)
+
     def next_estimate(key, bins):
-        bins = bins.sort_values("bin")
-        n = bins["n"].to_numpy(np.float64)
+        bins = bins.sort_by("bin")
+        get = lambda c: bins.column(c).to_numpy().astype(np.float64)
+        n, last = get("n"), get("last")[0]
         upto = int(np.searchsorted(np.cumsum(n), part * n.sum())) + 1
-        bins, n = bins.iloc[:upto], n[:upto]
-        share = n.sum()
-        mean = np.array([bins[f"s{i}"].sum() for i in range(d)]) / share
+        share = n[:upto].sum()
+        mean = np.array([get(f"s{i}")[:upto].sum() for i in range(d)]) / share
         cov = np.zeros((d, d))
         for i, j in pairs:
-            cov[i, j] = cov[j, i] = bins[f"p{i}_{j}"].sum() / share - mean[i] * mean[j]
-        cov = cov * consistent + np.diag(floors**2)
-        root = np.linalg.inv(np.linalg.cholesky(cov))
-        return pd.DataFrame({"grp": [key[0]], "centre": [mean.tolist()], "root": [root.ravel().tolist()]})
-
-    consistent = part / _chi_squared_below(chi_squared(part, d), d + 2)
-    return sums.groupBy("grp").applyInPandas(next_estimate, "grp string, centre array<double>, root array<double>")
+            cov[i, j] = cov[j, i] = get(f"p{i}_{j}")[:upto].sum() / share - mean[i] * mean[j]
+        cov = cov * consistent + np.eye(d) * _RIDGE
+        logdet = float(np.linalg.slogdet(cov)[1])
+        return pa.table({
+            "grp": pa.array([key[0].as_py()], pa.string()), "start": pa.array([key[1].as_py()], pa.int32()), "centre": pa.array([mean.tolist()], pa.list_(pa.float64())),
+            "spread": pa.array([cov.ravel().tolist()], pa.list_(pa.float64())), "logdet": pa.array([logdet]), "done": pa.array([bool(logdet >= last - 1e-6)]), "root": pa.array([_root(cov)], pa.list_(pa.float64())),
+        })
+
+    return sums.groupBy("grp", "start").applyInArrow(next_estimate, _ESTIMATE)

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 #: Removes a query's shuffle files when it ends; what is written is read again, not computed again.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+#: Rows that go to Python at once, which bounds the memory beside the heap.
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,12 +53,14 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tallyspark/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, v) for k, v in (_CLEANUP, _BATCH)}
+    spark.conf.set(_CLEANUP[0], "true")
+    spark.conf.set(_BATCH[0], str(min(BATCH_ROWS, int(before[_BATCH[0]]))))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
