@@ -36,7 +36,7 @@ _SKETCH = tuple(f"b{k}" for k in range(BITS // 64))
 #: Times that sets which share too few keys are left out.
 PRUNED = 2
 #: Keys that a task holds before it passes them on, which bounds its memory.
-HELD_KEYS = 400_000
+HELD_KEYS = 200_000
 #: Bytes (as JSON) up to which a table of ids is broadcast.
 SMALL = 32_000_000
 _U = np.uint64
@@ -421,7 +421,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     features = written(_features(docs, key, text, width), "features")
     size = features.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     per_gram = 2 * (q / p + 1) * (q - p) / (q + p) * 16
-    n_buckets = spread(size * per_gram, 12_000_000, spark)
+    n_buckets = spread(size * per_gram, 6_000_000, spark)
     classes = features.where("_id is not null").groupBy(F.col("_id").alias("id")).agg(F.min("_doc").alias("_doc"), F.count("*").alias("_rows"), F.first("n_shingles").alias("n"))
     classes = written(classes, "classes")
     members = written(_members(docs, text, width, scheme, n_buckets), "members")

@@ -36,17 +36,8 @@ _is_mark[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b not in SYMB
 _is_upper = np.zeros(256, bool)
 _is_upper[65:91] = True
 
-#: The vector: (name, SQL over the counts, SQL of its sampling variance in a text). The square root of a share has a variance of
-#: 1 / (4 n); the logarithm of a mean that of the mean over its square (word lengths have a squared coefficient of variation of
-#: about 0.3); repeated words come in two runs of WINDOW at least, so n of them are worth n / (2 WINDOW).
-VECTOR = (
-    ("z_length", "ln(word_chars / greatest(n_words, 1))", "0.3 / greatest(n_words, 1)"),
-    ("z_symbols", "sqrt(n_symbols / greatest(word_chars, 1))", "0.25 / greatest(word_chars, 1)"),
-    ("z_upper", "sqrt(n_upper / greatest(word_chars, 1))", "0.25 / greatest(word_chars, 1)"),
-    ("z_marks", "sqrt(n_marks / greatest(word_chars, 1))", "0.25 / greatest(word_chars, 1)"),
-    ("z_repeats", "sqrt(n_repeat_words / greatest(n_words, 1))", f"{WINDOW / 2} / greatest(n_words, 1)"),
-    ("z_lines", "sqrt(n_dup_lines / greatest(n_lines, 1))", "0.25 / greatest(n_lines, 1)"),
-)
+#: The vector, of the counts.
+VECTOR = ("z_length", "z_symbols", "z_upper", "z_marks", "z_repeats", "z_lines")
 _D = len(VECTOR)
 #: Added to variances, so that a statistic that never varies in a group has an inverse.
 _RIDGE = 1e-6
@@ -87,19 +78,51 @@ def _count(column: pa.Array) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
-def statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs (without the text, unless keep_text) with the counts of COUNTS (long) for each whole text. A null or empty text has zeros; rows are counted each on
-    their own, so ties and repeated rows change nothing; columns whose names clash are replaced. Only the texts go to Python."""
-    kind = T.StructType([T.StructField(x, T.LongType()) for x in COUNTS])
+def vectors(counts: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the vector of VECTOR, and the sampling variance of each of its statistics. The square root of a share has a
+    variance of 1 / (4 n); the logarithm of a mean that of the mean over its square (word lengths have a squared coefficient of
+    variation of about 0.3); repeated words come in two runs of WINDOW at least, so n of them are worth n / (2 WINDOW)."""
+    n = {k: np.maximum(v, 1).astype(np.float64) for k, v in counts.items()}
+    share = lambda part, whole: np.sqrt(counts[part] / n[whole])
+    z = (np.log(n["word_chars"] / n["n_words"]), share("n_symbols", "word_chars"), share("n_upper", "word_chars"), share("n_marks", "word_chars"), share("n_repeat_words", "n_words"), share("n_dup_lines", "n_lines"))
+    chars = 0.25 / n["word_chars"]
+    return np.stack(z, 1), np.stack((0.3 / n["n_words"], chars, chars, chars, 0.25 * 2 * WINDOW / n["n_words"], 0.25 / n["n_lines"]), 1)
 
-    @F.arrow_udf(kind)
+
+def _distances(counts: dict[str, np.ndarray], centre: pa.Array, spread: pa.Array) -> pa.Array:
+    """The squared Mahalanobis distance of each text; null where there is no estimate."""
+    known = np.flatnonzero(centre.is_valid().to_numpy(zero_copy_only=False))
+    out = np.full(len(centre), np.nan)
+    if len(known):
+        z, noise = vectors({k: v[known] for k, v in counts.items()})
+        flat = lambda x: x.take(pa.array(known)).flatten().to_numpy(zero_copy_only=False)
+        off = z - flat(centre).reshape(-1, _D)
+        cov = flat(spread).reshape(-1, _D, _D).copy()
+        cov[:, range(_D), range(_D)] += noise
+        out[known] = np.einsum("ij,ij->i", off, np.linalg.solve(cov, off[..., None])[..., 0])
+    return pa.array(out, pa.float64(), mask=np.isnan(out))
+
+
+_MEASURES = [*(T.StructField(x, T.LongType()) for x in COUNTS), *(T.StructField(z, T.DoubleType()) for z in VECTOR)]
+
+
+def _measured(counts: dict[str, np.ndarray]) -> list[pa.Array]:
+    return [*(pa.array(counts[x], pa.int64()) for x in COUNTS), *(pa.array(np.ascontiguousarray(z), pa.float64()) for z in vectors(counts)[0].T)]
+
+
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs (without the text) with the counts of COUNTS (long) and the vector of VECTOR (double) for each whole text. A null or
+    empty text has zeros; rows are counted each on their own, so ties and repeated rows change nothing; columns whose names
+    clash are replaced. Only the texts go to Python."""
+
+    @F.arrow_udf(T.StructType(_MEASURES))
     def counted(column):
-        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in _count(column)], names=list(COUNTS))
+        return pa.StructArray.from_arrays(_measured(dict(zip(COUNTS, _count(column), strict=True))), names=[f.name for f in _MEASURES])
 
-    rows = without(docs, *(c for c in COUNTS if c != text), "_counts")
+    rows = without(docs, *(c for c in (*COUNTS, *VECTOR) if c != text), "_found")
     # a text is counted once, wherever the counts are used
-    rows = rows.withColumn("_counts", counted.asNondeterministic()(as_bytes(text)))
-    return rows.select(*(c for c in rows.columns if c != "_counts" and (keep_text or c != text)), "_counts.*")
+    rows = rows.withColumn("_found", counted.asNondeterministic()(as_bytes(text)))
+    return rows.select(*(c for c in rows.columns if c not in ("_found", text)), "_found.*")
 
 
 def base_failed() -> Column:
@@ -137,8 +160,8 @@ def estimates(counts: DataFrame, lang: str = "lang", source: str = "source", par
     are pooled by language, and pools still under it are pooled together; if that is under it too, its groups are left out.
     Rows that base_failed have no say. Should a determinant still fall after so many steps, that is an error.
     """
-    z = [name for name, _, _ in VECTOR]
-    fit = counts.where(~base_failed()).select(F.col(lang).alias("_l"), F.col(source).alias("_s"), *(F.expr(sql).alias(name) for name, sql, _ in VECTOR))
+    z = list(VECTOR)
+    fit = counts.where(~base_failed()).select(F.col(lang).alias("_l"), F.col(source).alias("_s"), *z)
     size = fit.groupBy("_l", "_s").agg(F.count("*").alias("_n"))
     pool = size.where(F.col("_n") < min_group).groupBy(F.col("_l").alias("_pl")).agg(F.sum("_n").alias("_pn"))
     group = F.when(F.col("_n") >= min_group, F.to_json(F.array("_l", "_s"))).when(F.col("_pn") >= min_group, F.to_json(F.array("_l"))).otherwise("[]")
@@ -171,28 +194,45 @@ def estimates(counts: DataFrame, lang: str = "lang", source: str = "source", par
 
 
 def judged(counts: DataFrame, estimate: DataFrame, lang: str = "lang", source: str = "source", alpha: float = 1e-3) -> DataFrame:
-    """Rows of counts with base_failed, distance (squared Mahalanobis; null without an estimate) and kept: neither
+    """Rows of statistics() with base_failed, distance (squared Mahalanobis; null without an estimate) and kept: neither
     base_failed nor beyond the chi-squared quantile 1 - alpha. Rows without an estimate are kept unless base_failed."""
 
     @F.arrow_udf(T.DoubleType())
-    def distance(vector, noise, centre, spread):
-        out = np.full(len(vector), np.nan)
-        known = np.flatnonzero(centre.is_valid().to_numpy(zero_copy_only=False))
-        if len(known):
-            flat = lambda x: x.take(pa.array(known)).flatten().to_numpy(zero_copy_only=False)
-            off = flat(vector).reshape(-1, _D) - flat(centre).reshape(-1, _D)
-            cov = flat(spread).reshape(-1, _D, _D).copy()
-            cov[:, range(_D), range(_D)] += flat(noise).reshape(-1, _D)
-            out[known] = np.einsum("ij,ij->i", off, np.linalg.solve(cov, off[..., None])[..., 0])
-        return pa.array(out, pa.float64(), mask=np.isnan(out))
-
-    rows = without(counts, "base_failed", "distance", "kept", "_l", "_s", "centre", "spread", "_group", "_of")
+    def distance(own, centre, spread):
+        return _distances({x: own.field(x).to_numpy(zero_copy_only=False) for x in COUNTS}, centre, spread)
+
+    rows = without(counts, *_JUDGED, *_JOINED)
+    out = _with_estimate(rows, estimate, lang, source).withColumn("distance", distance(F.struct(*COUNTS), F.col("centre"), F.col("spread")))
+    return _verdict(out, alpha).select(*rows.columns, *_JUDGED)
+
+
+def judged_texts(docs: DataFrame, estimate: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", alpha: float = 1e-3) -> DataFrame:
+    """judged(statistics(docs)) with the text, counted and judged in one go."""
+    fields = [*_MEASURES, T.StructField("distance", T.DoubleType())]
+
+    @F.arrow_udf(T.StructType(fields))
+    def found(column, centre, spread):
+        counts = dict(zip(COUNTS, _count(column), strict=True))
+        return pa.StructArray.from_arrays([*_measured(counts), _distances(counts, centre, spread)], names=[f.name for f in fields])
+
+    rows = without(docs, *(c for c in (*COUNTS, *VECTOR, *_JUDGED, *_JOINED) if c != text))
+    out = _with_estimate(rows, estimate, lang, source).withColumn("_found", found.asNondeterministic()(as_bytes(text), F.col("centre"), F.col("spread")))
+    return _verdict(out.select(*rows.columns, "_found.*"), alpha)
+
+
+_JUDGED = ("base_failed", "distance", "kept")
+_JOINED = ("centre", "spread", "_group", "_of", "_found")
+
+
+def _with_estimate(rows: DataFrame, estimate: DataFrame, lang: str, source: str) -> DataFrame:
     group = lambda a, b: F.to_json(F.array(F.col(a).cast("string"), F.col(b).cast("string")))
     keyed = estimate.select(group("_l", "_s").alias("_of"), "centre", "spread")
-    far = distance(F.array(*(F.expr(sql) for _, sql, _ in VECTOR)), F.array(*(F.expr(sql).cast("double") for _, _, sql in VECTOR)), F.col("centre"), F.col("spread"))
-    cut = chi_squared(1 - alpha, _D)
-    out = left_join_small(rows.withColumns({"base_failed": base_failed(), "_group": group(lang, source)}), keyed, "_group", "_of").withColumn("distance", far)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)).select(*rows.columns, "base_failed", "distance", "kept")
+    return left_join_small(rows.withColumn("_group", group(lang, source)), keyed, "_group", "_of")
+
+
+def _verdict(rows: DataFrame, alpha: float) -> DataFrame:
+    near = F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_squared(1 - alpha, _D)
+    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & near)
 
 
 _ESTIMATE = "grp string, start int, centre array<double>, spread array<double>, logdet double, done boolean, root array<double>"
@@ -211,8 +251,7 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _concentrate(fit: DataFrame, estimate: DataFrame, part: float) -> DataFrame:
     """One concentration step: the rows of the nearest bins, until they are the wanted part, give the next estimate."""
-    z = [name for name, _, _ in VECTOR]
-    d = _D
+    z, d = VECTOR, _D
 
     off = [F.col(name) - F.col("centre")[i] for i, name in enumerate(z)]
     rows = [sum((F.col("root")[i * d + j] * off[j] for j in range(i + 1)), F.lit(0.0)) for i in range(d)]

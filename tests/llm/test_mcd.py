@@ -2,11 +2,11 @@
 
 import numpy as np
 
-from tallyspark.llm.outliers import _RIDGE, VECTOR, _chi_squared_below, chi_squared, estimates, judged, statistics
+from tallyspark.llm.outliers import _RIDGE, VECTOR, _chi_squared_below, chi_squared, estimates, judged, judged_texts, statistics
 from tallyspark.llm.store import written
 
 DOCS = "doc_id long, text string, lang string, source string, spread string"
-Z = [z for z, _, _ in VECTOR]
+Z = list(VECTOR)
 
 
 def habits(r, n, upper, length):
@@ -45,14 +45,16 @@ def test_estimates_against_brute_force_and_by_source(spark):
     rows += [(5000, same, "en", "quiet", ""), (5001, same, "en", "loud", ""), (5002, None, None, None, None), (5003, "", "en", "quiet", None)]
     counts = written(statistics(spark.createDataFrame(rows, DOCS)))
     found = {e["_s"]: e for e in estimates(counts).collect()}
-    vectors = counts.where("n_words >= 20").selectExpr("source", *(f"{sql} as {z}" for z, sql, _ in VECTOR)).toPandas()
+    vectors = counts.where("n_words >= 20").select("source", *Z).toPandas()
     for source in ("quiet", "loud"):
         det, mean, cov = brute(vectors[vectors.source == source][Z].to_numpy())
         got = np.array(found[source]["spread"]).reshape(len(Z), -1)
         assert np.linalg.slogdet(got)[1] <= det + 0.15
         scale = np.sqrt(np.diag(cov)) + 0.005
         assert (np.abs(np.array(found[source]["centre"]) - mean) <= 0.5 * scale).all()
+    docs = spark.createDataFrame(rows, DOCS)
     out = {x["doc_id"]: x for x in judged(counts, estimates(counts)).collect()}
+    assert {x["doc_id"]: (x["text"], x["kept"]) for x in judged_texts(docs, estimates(counts)).collect()} == {r[0]: (r[1], out[r[0]]["kept"]) for r in rows}
     assert not out[5000]["kept"] and out[5001]["kept"]  # one text, two sources
     assert all(out[i]["kept"] == (i % 15 != 0) for i in range(240)) and all(out[1000 + i]["kept"] for i in range(240))
     assert out[5002]["base_failed"] and out[5003]["base_failed"] and "spread" not in out[0].asDict()
