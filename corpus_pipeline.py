@@ -8,13 +8,15 @@ table gives an empty result; other columns of docs go along unchanged, whatever
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.decontaminate import ADDED as HIT
 from tallyspark.llm.decontaminate import contaminated, decontaminate
 from tallyspark.llm.jaccard import SMALL, similar_components
+from tallyspark.llm.mixing import ADDED as MIXED
 from tallyspark.llm.mixing import mix
-from tallyspark.llm.outliers import estimates, judged, statistics
+from tallyspark.llm.outliers import COUNTS, VECTOR, estimates, judged_texts, statistics
 from tallyspark.llm.sharding import assign_shards
 from tallyspark.llm.store import forget, is_small, table, written
 
@@ -22,11 +24,18 @@ from tallyspark.llm.store import forget, is_small, table, written
 SHARD_BYTES = 16_000_000
 
 
+def shielded(docs: DataFrame, *added: str) -> tuple[DataFrame, list[Column]]:
+    """docs with its columns out of the way of those that an operator adds, and the columns that bring them back."""
+    low = {x.lower() for x in added}
+    names = {c: f"_own{k}" for k, c in enumerate(docs.columns) if c.lower() in low}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail the base rules nor are robust outliers of their language and source. Null and empty texts have
     no words and fail the base rules; null languages and sources are values of their own."""
-    estimate = estimates(written(statistics(docs), "counts"))
-    return judged(statistics(docs, keep_text=True), estimate).where("kept").select(docs.columns)
+    rows, back = shielded(docs, *COUNTS, *VECTOR, "base_failed", "distance", "kept")
+    return judged_texts(rows, estimates(written(statistics(rows.select("lang", "source", "text")), "counts"))).where("kept").select(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,15 +66,17 @@ def numbered(docs: DataFrame) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated; passages of test items too short a part of a document to condemn it are cut. Null and
     empty texts have no words and stay as they are; without test items everything stays."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), cut=True).where(~contaminated())
+    rows, back = shielded(docs, *HIT)
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), cut=True).where(~contaminated())
     text = F.coalesce("clean_text", "text")
-    return found.withColumns({"text": text, "n_chars": F.when(F.col("clean_text").isNull(), F.col("n_chars")).otherwise(F.length("clean_text").cast("long"))}).select(docs.columns)
+    return found.withColumns({"text": text, "n_chars": F.when(F.col("clean_text").isNull(), F.col("n_chars")).otherwise(F.length("clean_text").cast("long"))}).select(back)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose expected tokens meet the tempered shares of sources, languages and topics. Rows with equal keys are drawn
     alike; null keys, sources and languages count as empty ones."""
-    return mix(docs).where("sampled").select(docs.columns)
+    rows, back = shielded(docs, *MIXED)
+    return mix(rows).where("sampled").select(back)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
