@@ -1,14 +1,16 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
 A template of up to L words (L a power of two) is sought in windows of 2 L words that start every L words, so each occurrence
-lies wholly in a window. A window's sketch has, for each of SEEDS hash functions and BINS bins, the least hash of its shingles
-in that bin; every bin is a band of one row. A template's shingle agrees with the window's in its band unless another of the
-window's at most 2 L shingles has a smaller hash in the same bin, which for one seed has a probability under L / BINS; a
-template is missed only if that happens to all its shingles under both seeds: under (512 / 16384) ** 2 = 0.1 % for the longest
-windows if a single shingle is left, and under 1e-6 for L = 16.
-
-Only shingles that are in some template's sketch can agree in a band, so windows without one are not sketched at all.
-Everything is DataFrame functions: no row leaves the JVM.
+lies wholly in a window. A sketch has, for each of SEEDS hash functions and BINS bins, the least hash of the shingles in that bin;
+every bin is a band of one row, and its key is the least hash. A window retrieves a template if a band has the same key in both,
+which is an equi-join. A shingle that the two share gives its band the same key unless another of the window's at most 2 L
+shingles or of the template's L has a smaller hash in the same bin, which for one seed has a probability under 1.5 L / BINS. A
+template is missed only if that happens to all shared shingles under both seeds: under (384 / 16384) ** 2 = 0.06 % for L = 256 if
+they share a single shingle, and under 1e-6 for L = 8; with each further shared shingle that is to the next power.
+
+The key of a window's band is one of its shingles, so the shingles of a text are joined with the templates' keys, and only
+where they meet it is seen whether the shingle is the least of its band in a window that holds it. Windows that meet no key
+are never sketched. Everything is DataFrame functions: no row leaves the JVM.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .store import without
 
-BINS = 1 << 14
+BIN_BITS = 14
+BINS = 1 << BIN_BITS
 SEEDS = 2
 SHINGLE = 5
 #: Lower-casing is of A-Z alone; words are runs of letters, digits and bytes beyond ASCII.
@@ -58,45 +61,47 @@ def shingles(words: str) -> Column:
     return F.expr(f"case when {n} = 0 then cast(array() as array<bigint>) else transform(sequence(1, {n}), i -> xxhash64({parts})) end")
 
 
-def _sketch(s: str, seed: int) -> str:
-    """The SQL of a shingle's hash under a seed."""
-    return f"xxhash64({s}, {seed})"
+def _least(shingle: str, others: str) -> str:
+    """SQL: under some seed the shingle has the least hash of its bin among the others."""
+    value = lambda x, seed: x if seed == 0 else f"xxhash64({x}, {seed})"
+    bin_of = lambda x, seed: f"shiftrightunsigned({value(x, seed)}, {64 - BIN_BITS})"
+    return " or ".join(f"not exists({others}, y -> {bin_of('y', k)} = {bin_of(shingle, k)} and {value('y', k)} < {value(shingle, k)})" for k in range(SEEDS))
 
 
-def scan_licenses(docs: DataFrame, wanted: DataFrame, text: str = "text", containment: float = 0.8, max_templates: int = 50_000) -> DataFrame:
+def candidates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (_s: shingles, in order) with each template (of known: license, _shingles, _half) and window number _k that have the
+    key of a band in common, and _w, the window's shingles. Window k holds the words [k L, k L + 2 L). A window that has several
+    keys in common with a template is there several times."""
+    keys = known.select("license", "_shingles", "_half", F.explode("_shingles").alias("_key")).where(F.expr(_least("_key", "_shingles")))
+    met = rows.select("*", F.posexplode("_s").alias("_at", "_value")).join(F.broadcast(keys), F.col("_value") == F.col("_key"))
+    first = F.expr("cast(floor(_at / _half) as int)")
+    windows = met.withColumn("_k", F.explode(F.array(first, first - 1))).where("_k >= 0")
+    windows = windows.withColumn("_w", F.expr(f"slice(_s, _k * _half + 1, 2 * _half - {SHINGLE - 1})"))
+    return windows.where(F.expr(_least("_key", "_w"))).drop("_at", "_value", "_key")
+
+
+def scan_licenses(docs: DataFrame, wanted: DataFrame, text: str = "text", containment: float = 0.8, block_bytes: int = 32_000_000) -> DataFrame:
     """A row for each row of docs (without the text) and license of which some window holds the part `containment` of the
     template's distinct shingles: the license, window_start and window_words (of the first window that holds most), shared
     (distinct shingles of the template in it) and containment.
 
-    wanted has license and template; at most max_templates rows, checked, as its sketches are held by every task. Templates
-    under SHINGLE words, empty or null ones match nothing; of equal templates each is reported. Null and empty texts hold
-    nothing; repeated rows are scanned each; columns of docs whose names clash with an added column are replaced.
+    wanted has license and template. Its shingles are held by every task, so templates are taken in blocks whose shingles have
+    a checked size of block_bytes; each block reads docs once. Templates under SHINGLE words, empty or null ones match nothing;
+    of equal templates each is reported. Null and empty texts hold nothing; repeated rows are scanned each; columns of docs
+    whose names clash with an added column are replaced.
     """
-    count = wanted.limit(max_templates + 1).count()
-    if count > max_templates:
-        raise ValueError(f"more than {max_templates} templates; scan them in blocks")
-    known = wanted.where("template is not null").select("license", license_words("template").alias("_w")).withColumn("_s", F.array_distinct(shingles("_w"))).where(F.size("_s") > 0)
-    known = known.select("license", F.col("_s").alias("_shingles"), F.expr("cast(pow(2, ceil(log2(greatest(size(_w), 8)))) as int)").alias("_half"))
-    base = without(docs, *(c for c in ADDED if c != text), "_s", "_id", "_half", "_shingles", "_k", "_x", "_n")
+    known = wanted.where("template is not null").select("license", license_words("template").alias("_t")).withColumn("_shingles", F.array_distinct(shingles("_t"))).where(F.size("_shingles") > 0)
+    known = known.select("license", "_shingles", F.expr("cast(pow(2, ceil(log2(greatest(size(_t), 8)))) as int)").alias("_half"))
+    n_bytes = known.agg(F.coalesce(F.sum(8.0 * F.size("_shingles") * (F.size("_shingles") + 2)), F.lit(0.0))).first()[0]
+    n_blocks = max(1, -(-int(n_bytes) // block_bytes))
+    base = without(docs, *(c for c in ADDED if c != text), "_s", "_t", "_id", "_half", "_shingles", "_k", "_w", "_n", "_at", "_value", "_key", "_b")
     rest = [c for c in base.columns if c != text]
-    rows = base.select(*rest, license_words(text).alias("_w")).where(F.size("_w") >= SHINGLE).select(*rest, F.size("_w").alias("_n"), shingles("_w").alias("_s"))
-    # the shingles that could agree in a band; one array for all templates, of checked size
-    sieve = known.select(F.explode("_shingles").alias("x")).agg(F.collect_set("x").alias("_sieve"))
-    rows = rows.join(F.broadcast(sieve)).where(F.arrays_overlap("_s", "_sieve"))
-    hits = F.expr("filter(transform(_s, (x, i) -> struct(x as x, i as i)), h -> array_contains(_sieve, h.x))")
-    rows = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_hits", hits).drop("_sieve")
-    sizes = sorted(r[0] for r in known.select("_half").distinct().collect())  # powers of two, so a few
-    if not sizes:
-        sizes = [8]
-    # windows that hold a shingle of the sieve: number k covers the words [k L, k L + 2 L)
-    windows = rows.withColumn("_half", F.explode(F.array(*(F.lit(x) for x in sizes)))).select("*", F.explode(F.expr("array_distinct(flatten(transform(_hits, h -> array(cast(floor(h.i / _half) as int), cast(floor(h.i / _half) as int) - 1))))")).alias("_k")).where("_k >= 0")
-    windows = windows.withColumn("_s", F.expr(f"slice(_s, _k * _half + 1, greatest(2 * _half - {SHINGLE - 1}, 1))")).where(F.size("_s") > 0)
-    # the window's sketch, restricted to bands in which one of the template's shingles has its bin's least hash
-    agree = " or ".join(
-        f"exists(array_intersect(_shingles, _s), x -> not exists(_s, y -> pmod({_sketch('y', seed)}, {BINS}) = pmod({_sketch('x', seed)}, {BINS}) and {_sketch('y', seed)} < {_sketch('x', seed)}))" for seed in range(SEEDS)
-    )
-    found = windows.join(F.broadcast(known), "_half").where(F.expr("arrays_overlap(_shingles, _s)")).where(F.expr(agree))
-    # exact verification
-    found = found.withColumn("shared", F.size(F.array_intersect("_shingles", "_s")).cast("long")).where(F.col("shared") >= F.lit(containment) * F.size("_shingles"))
-    best = F.max_by(F.struct((F.col("_k") * F.col("_half")).cast("long").alias("window_start"), F.least(F.lit(2) * F.col("_half"), F.col("_n") - F.col("_k") * F.col("_half")).cast("long").alias("window_words"), "shared", (F.col("shared") / F.size("_shingles")).alias("containment")), F.struct("shared", -F.col("_k")))
-    return found.groupBy("_id", "license").agg(*(F.first(c).alias(c) for c in rest), best.alias("_b")).select(*rest, "license", "_b.*")
+    rows = base.select(*rest, license_words(text).alias("_t")).where(F.size("_t") >= SHINGLE).select(*rest, F.size("_t").alias("_n"), shingles("_t").alias("_s"), F.monotonically_increasing_id().alias("_id"))
+    out = None
+    for block in range(n_blocks):
+        part = known if n_blocks == 1 else known.where(F.pmod(F.xxhash64("license", "_shingles"), F.lit(n_blocks)) == block)
+        found = candidates(rows, part).withColumn("shared", F.size(F.array_intersect("_shingles", "_w")).cast("long")).where(F.col("shared") >= F.lit(containment) * F.size("_shingles"))
+        window = F.struct((F.col("_k") * F.col("_half")).cast("long").alias("window_start"), F.least(F.lit(2) * F.col("_half"), F.col("_n") - F.col("_k") * F.col("_half")).cast("long").alias("window_words"), "shared", (F.col("shared") / F.size("_shingles")).alias("containment"))
+        best = found.groupBy("_id", "license").agg(*(F.first(c).alias(c) for c in rest), F.max_by(window, F.struct("shared", -F.col("_k"))).alias("_b")).select(*rest, "license", "_b.*")
+        out = best if out is None else out.unionByName(best)
+    return out

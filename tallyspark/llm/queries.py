@@ -116,8 +116,7 @@ FROM placed JOIN sums ON sums.k = placed.k AND p = h >> (31 - placed.k)""",
 WITH t AS (SELECT license, list_filter(string_split_regex({_LOWER.format("template")}, '{_BREAKS}'), lambda x: x <> '') w FROM (VALUES {_TEMPLATE_ROWS}) v(license, template)),
 ts AS (SELECT license, half, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) s
   FROM (SELECT *, CAST(pow(2, ceil(log2(greatest(len(w), 8)))) AS BIGINT) half FROM t) WHERE len(w) >= 5),
-d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '{_BREAKS}'), lambda x: x <> '') w FROM documents
-  WHERE regexp_matches(text, '(?i)licen|permi|redistr|software')),
+d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '{_BREAKS}'), lambda x: x <> '') w FROM documents),
 ds AS (SELECT doc_id, len(w) n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) s FROM d WHERE len(w) >= 5),
 win AS (SELECT doc_id, n, half, k, s[k * half + 1:k * half + greatest(2 * half - 4, 1)] s
   FROM (SELECT doc_id, n, s, half, unnest(range(0, len(s) // half + 1)) k FROM ds, (SELECT DISTINCT half FROM ts)) WHERE k * half < len(s)),
