@@ -1,31 +1,92 @@
-"""Ad-hoc SQL: one SELECT over allowed relations and functions, with a cap on rows and time."""
+"""Ad-hoc SQL: one SELECT over allowed relations and functions, with a cap on rows and time.
+
+The parsed plan is walked node by node; what is not known to be harmless is refused, be it a relation, a function or a kind of node.
+A checked query runs in a session of its own that has only the given views.
+"""
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 ROWS, SECONDS, CHARS = 100, 5.0, 4000
 
 # Functions that an ad-hoc query may call.
 FUNCTIONS = frozenset(
-    "abs avg bool_and bool_or bround cast ceil ceiling coalesce concat count count_if cume_dist date_diff date_format date_part datediff day dayofweek dense_rank exp extract first first_value floor greatest if ifnull in lag last last_value lead least left length ln log lower lpad ltrim max max_by mean median min min_by month ntile nullif percent_rank power pow rank regexp_like replace right round row_number rpad rtrim sign split_part sqrt stddev sum substr substring trim trunc try_cast try_divide upper variance when year and or not listagg string_agg any_value make_date".split()
+    "abs any any_value avg between bool_and bool_or bround cast ceil ceiling coalesce concat count count_if cume_dist date_diff date_format date_part datediff day dayofweek dense_rank every exp extract first first_value floor greatest if ifnull lag last last_value lead least left length ln log lower ltrim max max_by mean median min min_by month ntile nullif percent_rank percentile_cont percentile_disc power pow rank regexp_like replace right round row_number rtrim sign some split_part sqrt startswith stddev stddev_pop stddev_samp sum substr substring trim trunc try_cast try_divide upper var_pop variance when year make_date corr".split()
+)
+# Spark's names of the plan nodes and expressions that a SELECT without functions parses to.
+PLANS = frozenset(
+    "Project Aggregate Sort GlobalLimit LocalLimit Distinct Filter Union Intersect Except UnresolvedWith UnresolvedHaving SubqueryAlias Join WithWindowDefinition Offset UnresolvedSubqueryColumnAliases OneRowRelation UnresolvedRelation".split()
 )
-_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
-_CTE = re.compile(r"(?:CTE|UnresolvedWith|SubqueryAlias) \[?([A-Za-z_][\w, ]*)\]?")
-_FUNCTION = re.compile(r"'([A-Za-z_][\w.]*)\(")
-_BANNED = re.compile(r"\b(?:Sample|ScriptTransformation|UnresolvedTableValuedFunction|UnresolvedInlineTable|Generate|InsertInto\w+|CreateTable\w*|DropTable\w*|SetCommand|CacheTable\w*|UnresolvedHint|CTERelationRef recursive)\b")
-_QUERY_ROOTS = ("Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Filter", "Union", "Intersect", "Except", "CTE", "With", "UnresolvedWith", "UnresolvedHaving", "SubqueryAlias", "Subquery", "WithWindowDefinition", "Offset", "UnresolvedSubqueryColumnAliases", "'")
+EXPRESSIONS = frozenset(
+    "Literal UnresolvedAttribute UnresolvedStar UnresolvedAlias Alias SortOrder UnresolvedFunction Cast TryCast CaseWhen If Coalesce Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive And Or Not EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual UnresolvedBetween Between In InSubquery ListQuery Exists ScalarSubquery IsNull IsNotNull IsTrue IsFalse IsNotTrue IsNotFalse IsUnknown IsNotUnknown Like ILike RLike LikeAll LikeAny NotLikeAll NotLikeAny Concat Substring StringTrim StringTrimLeft StringTrimRight CurrentDate Extract UnresolvedExtractValue WindowExpression UnresolvedWindowExpression WindowSpecDefinition WindowSpecReference SpecifiedWindowFrame UnspecifiedFrame$ UnboundedPreceding$ UnboundedFollowing$ CurrentRow$ RowFrame$ RangeFrame$ MultiAlias CreateNamedStruct UnresolvedOrdinal Grouping".split()
+)
+_SUBQUERIES = frozenset("ListQuery Exists ScalarSubquery".split())
 
 
 class Refused(ValueError):
     """The query is not allowed; the message says why."""
 
 
-def check(spark, sql: str, allowed: set[str]) -> None:
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.length())]
+
+
+def _name(node) -> str:
+    return node.getClass().getName().rsplit(".", 1)[-1]
+
+
+def _walk_plan(plan, allowed: set[str], visible: frozenset[str]) -> None:
+    """visible: the common table expressions that a name can mean here."""
+    todo = [(plan, visible)]
+    while todo:
+        node, visible = todo.pop()
+        kind = _name(node)
+        if kind not in PLANS:
+            raise Refused(f"only SELECT is allowed, not {kind}")
+        if kind == "UnresolvedRelation":
+            parts = [str(x).lower() for x in _items(node.multipartIdentifier())]
+            if not (len(parts) == 1 and parts[0] in visible) and ".".join(parts) not in allowed:
+                raise Refused(f"no relation {'.'.join(parts)} is open to queries")
+            if not node.options().isEmpty():
+                raise Refused("options of a relation are not allowed")
+        elif kind == "UnresolvedWith":
+            if node.allowRecursion():
+                raise Refused("recursive queries are not allowed")
+            for entry in _items(node.cteRelations()):
+                # its own name and later ones are not visible in its body
+                todo.append((entry._2(), visible))
+                visible |= {str(entry._1()).lower()}
+        elif kind == "WithWindowDefinition":
+            for pair in _items(node.windowDefinitions().toSeq()):
+                _walk_expression(pair._2(), allowed, visible)
+        for e in _items(node.expressions()):
+            _walk_expression(e, allowed, visible)
+        todo += [(x, visible) for x in _items(node.children())]
+
+
+def _walk_expression(expression, allowed: set[str], visible: frozenset[str]) -> None:
+    todo = [expression]
+    while todo:
+        node = todo.pop()
+        kind = _name(node)
+        if kind not in EXPRESSIONS:
+            raise Refused(f"{kind} is not allowed")
+        if kind == "UnresolvedFunction":
+            parts = [str(x).lower() for x in _items(node.nameParts())]
+            if len(parts) > 1 or parts[0] not in FUNCTIONS:
+                raise Refused(f"the function {'.'.join(parts)} is not allowed")
+        if kind in _SUBQUERIES:
+            _walk_plan(node.plan(), allowed, visible)
+        if kind == "InSubquery":
+            todo.append(node.query())
+        todo += _items(node.children())
+
+
+def check(spark: SparkSession, sql: str, allowed: set[str]) -> None:
     """Raises Refused unless sql is one SELECT (or a set operation of such) over the allowed names."""
     if len(sql) > CHARS or "\0" in sql:
         raise Refused("the query is too long or has a NUL character")
@@ -36,44 +97,33 @@ def check(spark, sql: str, allowed: set[str]) -> None:
         raise Refused("the query is not valid text") from e
     except Exception as e:
         raise Refused(f"it does not parse as one statement: {str(e)[:200]}") from e
-    tree = plan.toString()
-    root = tree.lstrip("'").split("\n", 1)[0].split(" ", 1)[0].split("[", 1)[0]
-    if not any(root.startswith(x) for x in _QUERY_ROOTS[:-1]):
-        raise Refused(f"only SELECT is allowed, not {root}")
-    if m := _BANNED.search(tree):
-        raise Refused(f"{m[0]} is not allowed")
-    if m := re.search(r"\b(?:recursive|tablesample)\b", re.sub(r"'[^']*'", "''", sql), re.I):
-        raise Refused(f"{m[0]} is not allowed")
-    own = {x.strip().lower() for x in re.findall(r"(?:\bwith\b|,)\s*([A-Za-z_]\w*)\s*(?:\([^()]*\)\s*)?as\s*\(", sql, re.I)}
-    for m in _RELATION.finditer(tree):
-        name = m[1].replace(" ", "").lower()
-        if name not in allowed and name not in own:
-            raise Refused(f"no relation {name} is open to queries")
-    for m in _FUNCTION.finditer(tree):
-        if m[1].lower() not in FUNCTIONS:
-            raise Refused(f"the function {m[1]} is not allowed")
+    _walk_plan(plan, {x.lower() for x in allowed}, frozenset())
 
 
 def guarded(sql: str, views: dict[str, DataFrame], rows: int = ROWS) -> DataFrame:
-    """The result of a checked query over the given frames alone, at most so many rows. It runs in a session of its own, in which
-    files cannot be named as tables."""
+    """The result of a checked query over the given frames alone, at most so many rows. It runs in a session of its own, which has
+    these views only and in which files cannot be named as tables."""
     spark = next(iter(views.values())).sparkSession
-    check(spark, sql, {v.lower() for v in views})
-    tag = uuid.uuid4().hex[:8]
-    names = {v: f"{v}_{tag}" for v in views}
-    for v, df in views.items():
-        df.createOrReplaceTempView(names[v])
-    text = sql
-    for v, own in names.items():
-        text = re.sub(rf"(?<![\w.']){re.escape(v)}(?![\w'])", own, text, flags=re.I)
-    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    check(spark, sql, set(views))
+    own = spark.newSession()
+    for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(k, spark.conf.get(k))
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    for name, df in views.items():
+        moved = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
+        moved.createOrReplaceTempView(name)
+    return own.sql(sql).limit(rows)
+
+
+def repaired(sql: str, views: dict[str, DataFrame], repair, rows: int = ROWS) -> DataFrame:
+    """guarded(), with one repair: repair(sql, message) is asked once for another query if the first is refused or fails to
+    resolve; what is wrong with the second is an error."""
+    from pyspark.errors import PySparkException
+
     try:
-        return spark.sql(text).limit(rows)
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
-        for own in names.values():
-            spark.catalog.dropTempView(own)
+        return guarded(sql, views, rows)
+    except (Refused, PySparkException) as e:
+        return guarded(repair(sql, str(e)), views, rows)
 
 
 def collected(df: DataFrame, seconds: float = SECONDS) -> list:
