@@ -60,6 +60,8 @@ def _walk_plan(plan, allowed: set[str], visible: frozenset[str]) -> None:
                 # its own name and later ones are not visible in its body
                 todo.append((entry._2(), visible))
                 visible |= {str(entry._1()).lower()}
+        elif kind == "LocalLimit" and _name(node.child()) in ("UnresolvedRelation", "SubqueryAlias", "Join"):
+            raise Refused("a sample is not allowed")  # TABLESAMPLE (n ROWS) is a limit right on a relation
         elif kind == "WithWindowDefinition":
             for pair in _items(node.windowDefinitions().toSeq()):
                 _walk_expression(pair._2(), allowed, visible)

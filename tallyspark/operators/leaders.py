@@ -27,7 +27,7 @@ def leaders(rows: DataFrame, value: str, key: str, n: int = 5, qualified: Column
     """The n best rows by value, with rank; null values never lead.
 
     qualified says who may lead. still is the value that a row would have with the games it lacks to qualify: a row that does
-    not qualify leads too if even that is at least the best qualified value. ties="cut" ranks by value and key and gives n
+    not qualify leads too if even that beats the best qualified value. ties="cut" ranks by value and key and gives n
     rows; "keep" gives every row whose rank by value is at most n.
     """
     rows = rows.where(F.col(value).isNotNull())
@@ -35,7 +35,7 @@ def leaders(rows: DataFrame, value: str, key: str, n: int = 5, qualified: Column
         rows = rows.withColumn("_ok", qualified)
         if still is not None:
             best = rows.where("_ok").agg((F.max if descending else F.min)(value).alias("_best"))
-            beats = F.coalesce(still >= F.col("_best") if descending else still <= F.col("_best"), F.lit(False))
+            beats = F.coalesce(still > F.col("_best") if descending else still < F.col("_best"), F.lit(False))
             rows = rows.join(F.broadcast(best)).where(F.col("_ok") | beats).drop("_best")  # one row
         else:
             rows = rows.where("_ok")

@@ -6,14 +6,16 @@ kind of season only if all its games are up to the date.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.casts import alias_norm, blank_to_null, masked, periods, ratio, season_of_id, season_start, season_type, to_int, to_num
+from ..functions.casts import blank_to_null, masked, periods, ratio, season_of_id, season_start, season_type, strip_accents, to_int, to_num
 from .metrics import Base, compile_metrics
-from .registry import METRICS
+from .registry import METRICS, VERSION
 from .series import eras
-from .shaping import first_by, first_seasons, gated, latest_batch_per, latest_per, pair_rows, top_ranked, total_or_single, union_by_name, with_precedence
+from .shaping import first_by, first_seasons, gated, latest_batch_per, latest_per, pair_rows, top_ranked, total_or_single, union_by_name
 
 Frames = dict[str, DataFrame]
 
@@ -165,7 +167,9 @@ def games(f: Frames) -> DataFrame:
     rows = f["stg_team_game"].join(F.broadcast(f["tiebreaker_games"].select("game_id", F.lit("Tiebreaker").alias("_kind"))), "game_id", "left")  # a seed of a few rows
     rows = rows.withColumn("season_type", F.coalesce("_kind", "season_type")).where(~(F.col("wl").isNull() & (F.coalesce("minutes", F.lit(0)) == 0)))
     status = f["int_season_type_status"]
-    rows = gated(rows.withColumn("_g", F.coalesce("_kind", "season_type")), status.select("season", F.col("season_type").alias("_g"), "included"), ["season", "_g"]).unionByName(rows.where(F.col("_kind").isNotNull()).withColumn("_g", F.col("_kind")))
+    # tiebreakers are no kind of season of their own: they are cut by their dates
+    ties = rows.where(F.col("_kind").isNotNull() & (F.lit(f["_as_of"] is None) | (F.col("game_date") <= F.lit(f["_as_of"]).cast("date")))).withColumn("_g", F.col("_kind"))
+    rows = gated(rows.withColumn("_g", F.coalesce("_kind", "season_type")), status.select("season", F.col("season_type").alias("_g"), "included"), ["season", "_g"]).unionByName(ties)
     shared = rows.groupBy("game_id").agg(F.min("season").alias("season"), F.min("season_type").alias("season_type"), F.min("game_date").alias("game_date"), F.max("minutes").alias("minutes"))
     paired = pair_rows(rows, "game_id", "team_id", "is_home", ["team_id", "pts"]).join(shared, "game_id")
     home, away = F.col("home_pts"), F.col("away_pts")
@@ -212,22 +216,25 @@ def team_season(f: Frames) -> DataFrame:
         F.struct(F.col("home_team_id").alias("team_id"), F.lit("home").alias("role"), F.col("home_pts").alias("own"), F.col("away_pts").alias("opp")),
         F.struct(F.col("away_team_id").alias("team_id"), F.lit("road").alias("role"), F.col("away_pts").alias("own"), F.col("home_pts").alias("opp")),
     )
-    rows = f["games"].where(~F.col("is_cup_final")).select("season", "season_start", "season_type", "is_neutral", "winner_team_id", F.explode(entries).alias("r")).select("*", "r.*")
-    won = F.col("winner_team_id") == F.col("team_id")
+    rows = f["games"].select("season", "season_start", "season_type", "is_neutral", F.explode(entries).alias("r")).select("*", "r.*")
+    won, lost = F.col("own") > F.col("opp"), F.col("own") < F.col("opp")
+    home, road = settled & (F.col("role") == "home"), settled & (F.col("role") == "road")
     count = lambda cond, name: F.count_if(cond).alias(name)
     record = rows.groupBy("team_id", "season", "season_start", "season_type").agg(
-        F.count("*").alias("gp"), count(won, "wins"), count(~won, "losses"), count(won & settled & (F.col("role") == "home"), "home_wins"), count(~won & settled & (F.col("role") == "home"), "home_losses"),
-        count(won & settled & (F.col("role") == "road"), "road_wins"), count(~won & settled & (F.col("role") == "road"), "road_losses"), count(F.col("is_neutral"), "neutral_games"), F.sum("own").alias("pts"), F.sum("opp").alias("opp_pts"),
+        F.count("*").alias("gp"), count(won, "wins"), count(lost, "losses"), count(won & home, "home_wins"), count(lost & home, "home_losses"),
+        count(won & road, "road_wins"), count(lost & road, "road_losses"), count(F.col("is_neutral"), "neutral_games"), F.sum("own").alias("pts"), F.sum("opp").alias("opp_pts"),
     )
-    box = f["stg_team_game"].join(f["games"].where(~F.col("is_cup_final")).select("game_id"), "game_id", "left_semi")
+    kinds = f["games"].select("game_id", F.col("season_type").alias("_kind"))
+    box = f["stg_team_game"].join(kinds, "game_id").withColumn("season_type", F.col("_kind"))
     counted = [c for c in BOX if c in ("fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "reb", "ast", "tov")]
     sums = box.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counted))
-    table = f["stg_standings"].select("team_id", "season", "conference", "division", "conference_rank", "league_rank").withColumn("season_type", F.lit(REGULAR))
+    settled_table = gated(f["stg_standings"].withColumn("season_type", F.lit(REGULAR)), f["int_season_type_status"], _PERIOD)
+    table = settled_table.select("team_id", "season", "season_type", "conference", "division", "conference_rank", "league_rank")
     year = f["stg_team_year"].select("team_id", "season", F.col("conf_rank").alias("_rank")).withColumn("season_type", F.lit(REGULAR))
     advanced = f["stg_team_advanced"].select(*keys, "off_rating", "def_rating", "net_rating", "pace")
     out = record.join(sums, keys, "left").join(table, keys, "left").join(year, keys, "left").join(advanced, keys, "left")
     out = out.withColumns({"franchise_id": F.col("team_id"), "win_pct": ratio("wins", "gp"), "conference_rank": F.coalesce("conference_rank", "_rank")})
-    return out.withColumns(_tracked(counted, f["_first"])).drop("_rank")
+    return out.drop("_rank")
 
 
 def team_titles(f: Frames) -> DataFrame:
@@ -252,12 +259,20 @@ def awards(f: Frames) -> DataFrame:
     return rows.where(known).select("player_id", "season", "season_start", "award", "award_type", "team_name", "team_number", "conference", "month", "week")
 
 
+# The records that box scores give, by statistic.
+RECORDS = {"pts": "Most points in a game", "fg3m": "Most 3-pointers made in a game", "reb": "Most rebounds in a game", "ast": "Most assists in a game"}
+
+
 def records(f: Frames) -> DataFrame:
-    names = {f"single_game_{s}": s for s in ("pts", "fg3m", "reb", "ast")}
-    top = top_ranked(f["player_game"], names, 10, ["player_id", "game_id", "game_date", "season", "season_type"])
-    top = top.select("record", F.lit("single_game").alias("record_kind"), F.substring_index("record", "_", -1).alias("stat"), "player_id", "game_id", "game_date", "season", "season_type", "value", F.col("game_date").alias("valid_from"), F.lit("box score").alias("source"))
+    """The ten best games of a regular season by statistic, ties included, and the curated records known by the cutoff."""
+    rows = f["player_game"].where(F.col("season_type") == REGULAR)
+    top = top_ranked(rows, {label: stat for stat, label in RECORDS.items()}, 10, ["player_id", "game_id", "game_date", "season", "season_type"])
+    stat = F.element_at(F.create_map(*(F.lit(x) for pair in RECORDS.items() for x in reversed(pair))), F.col("record"))
+    top = top.select("record", F.lit("single_game").alias("record_kind"), stat.alias("stat"), "player_id", "game_id", "game_date", "season", "season_type", "value", F.col("game_date").alias("valid_from"), F.lit("nba_api leaguegamelog").alias("source"))
     people = f["players"].select("player_id", F.col("name").alias("player"))
     hand = f["records_curated"].join(people, "player", "left").select("record", "record_kind", "stat", "player_id", to_num("value").alias("value"), F.col("valid_from").try_cast("date").alias("valid_from"), F.col("source_url").alias("source"))
+    if f["_as_of"] is not None:
+        hand = hand.where(F.col("valid_from") <= F.lit(f["_as_of"]).cast("date"))
     return top.unionByName(hand, allowMissingColumns=True)
 
 
@@ -268,19 +283,20 @@ def players(f: Frames) -> DataFrame:
 
 
 def player_aliases(f: Frames) -> DataFrame:
-    """Spellings of names in order of precedence; a nickname of the seed belongs to its best-known holder: the longest career."""
+    """One row for each player and normalised spelling: the full name first, then by spelling, curated ones first, and kind. A
+    curated alias belongs to its best-known holder, the one with most seasons."""
     p = f["players"]
-    one = lambda column, kind, rows=p: rows.select("player_id", column.alias("alias"), F.lit(kind).alias("kind"))
-    alone = p.groupBy("last_name").agg(F.count("*").alias("n")).where("n = 1").select("last_name")
-    span = (F.coalesce("to_year", F.lit(0)) - F.coalesce("from_year", F.lit(0))).desc()
+    one = lambda column, kind, rows=p: rows.select("player_id", column.alias("alias"), F.lit(kind).alias("kind"), F.lit(False).alias("_curated"))
+    alone = p.join(p.groupBy("last_name").agg(F.count("*").alias("n")).where("n = 1").select("last_name"), "last_name", "left_semi")
     seed = f["player_alias_seed"].join(p.select("player_id", F.col("name").alias("player_name"), "from_year", "to_year"), "player_name")
-    seed = first_by(seed, ["alias"], [span, F.col("player_id")]).select("player_id", "alias", "kind")
+    seed = first_by(seed, ["alias"], [(F.col("to_year") - F.col("from_year")).desc_nulls_last(), F.col("player_id")]).select("player_id", "alias", "kind", F.lit(True).alias("_curated"))
+    plain, last = strip_accents("name"), strip_accents("last_name")
     sources = [
-        one(F.col("name"), "full"), one(F.regexp_replace("name", r"[.'’]", ""), "plain"), one(F.concat_ws(" ", F.substring("first_name", 1, 1), "last_name"), "initial"),
-        one(F.concat_ws(", ", "last_name", "first_name"), "last_first"), seed, one(F.col("last_name"), "last", p.join(alone, "last_name", "left_semi")),
+        one(F.col("name"), "full name"), one(plain, "accent-free", p.where(plain != F.col("name"))), one(strip_accents(F.replace("name", F.lit("."), F.lit(""))), "no periods", p.where(F.col("name").contains("."))),
+        one(F.col("last_name"), "last name", alone), one(last, "last name", alone.where(last != F.col("last_name"))), seed,
     ]
-    sources = [s.withColumn("alias_norm", alias_norm("alias")).where("alias_norm <> ''") for s in sources]
-    return with_precedence(sources, ["player_id", "alias_norm"], [F.col("alias")])
+    rows = reduce(DataFrame.unionByName, sources).withColumn("alias_norm", F.lower(strip_accents("alias")))
+    return first_by(rows, ["player_id", "alias_norm"], [(F.col("kind") == "full name").desc(), F.col("alias"), F.col("_curated").desc(), F.col("kind")]).select("player_id", "alias", "alias_norm", "kind")
 
 
 def teams(f: Frames) -> DataFrame:
@@ -294,12 +310,16 @@ def teams(f: Frames) -> DataFrame:
 
 
 def team_aliases(f: Frames) -> DataFrame:
-    t = f["teams"]
-    short = f["stg_team_game"].groupBy("team_id").agg(F.max_by("team_abbreviation", "game_date").alias("abbreviation"))
-    one = lambda rows, column, kind: rows.select("team_id", column.alias("alias"), F.lit(kind).alias("kind"))
-    seed = f["team_alias_seed"].join(short, F.col("team_abbreviation") == F.col("abbreviation")).select("team_id", "alias", F.lit("nickname").alias("kind"))
-    sources = [one(t, F.col("full_name"), "full"), one(t, F.col("name"), "name"), one(t, F.col("city"), "city"), one(short, F.col("abbreviation"), "abbreviation"), seed]
-    return with_precedence([s.withColumn("alias_norm", alias_norm("alias")) for s in sources], ["team_id", "alias_norm"], [F.col("alias")])
+    """Names of today's teams, their abbreviation in the newest season's last game, and curated nicknames, in this order."""
+    t = f["teams"].where("is_current")
+    log = f["stg_team_game"]
+    newest = log.agg(F.max("season").alias("season"))  # one row
+    short = log.join(F.broadcast(newest), "season", "left_semi").groupBy("team_id").agg(F.max_by("team_abbreviation", "game_id").alias("abbreviation"))
+    seed = f["team_alias_seed"].join(short, F.col("team_abbreviation") == F.col("abbreviation")).select("team_id", "alias", F.lit("nickname").alias("kind"), F.lit(4).alias("_order"))
+    names = ((t, "full_name", "full name"), (t, "name", "name"), (t, "city", "city"), (short, "abbreviation", "abbreviation"))
+    sources = [rows.select("team_id", F.col(c).alias("alias"), F.lit(kind).alias("kind"), F.lit(k).alias("_order")) for k, (rows, c, kind) in enumerate(names)]
+    rows = reduce(DataFrame.unionByName, [*sources, seed]).withColumn("alias_norm", F.lower("alias"))
+    return first_by(rows, ["team_id", "alias_norm"], [F.col("_order"), F.col("alias")]).select("team_id", "alias", "alias_norm", "kind")
 
 
 def franchises(f: Frames) -> DataFrame:
@@ -326,7 +346,7 @@ MARTS = (stat_availability, games, player_game, player_season, player_season_sti
 def build(landing: Frames, seeds: Frames, as_of: str | None = None, keep=lambda name, df: df) -> Frames:
     """All staging and mart frames. keep(name, df) may write each mart and give back what was written; a cutoff inside a kind
     of season is an error."""
-    f: Frames = {**landing, **seeds}
+    f: Frames = {**landing, **seeds, "_as_of": as_of}
     for node in STAGING:
         f[node.__name__] = keep(node.__name__, node(f))
     f["int_season_type_status"] = keep("int_season_type_status", int_season_type_status(f, as_of))
@@ -343,10 +363,10 @@ def build(landing: Frames, seeds: Frames, as_of: str | None = None, keep=lambda
 # --- semantic views --------------------------------------------------------------------------------------------------------
 
 
-def _era(rows: DataFrame, f: Frames) -> DataFrame:
-    t = f["teams"].select(F.col("team_id").alias("_t"), "first_season_start", "last_season_start", "full_name", "city", F.col("name").alias("team_name"))
-    on = (F.col("team_id") == F.col("_t")) & F.col("season_start").between(F.col("first_season_start"), F.col("last_season_start"))
-    return rows.join(t, on, "left").drop("_t", "first_season_start", "last_season_start")
+def _era(rows: DataFrame, f: Frames, team: str, name: str) -> DataFrame:
+    """rows with the full name that a team had in the season."""
+    t = f["teams"].select(F.col("team_id").alias("_t"), F.col("first_season_start").alias("_from"), F.col("last_season_start").alias("_to"), F.col("full_name").alias(name))
+    return rows.join(t, (F.col(team) == F.col("_t")) & F.col("season_start").between(F.col("_from"), F.col("_to")), "left").drop("_t", "_from", "_to")
 
 
 def semantic(f: Frames) -> Frames:
@@ -359,29 +379,36 @@ def semantic(f: Frames) -> Frames:
     career = {n: Base(b.rows, ("player_id", "season_type")) for n, b in by_player.items()}
     regular = f"season_type = '{REGULAR}'"
     career |= {"awards": Base(f["awards"], ("player_id",), regular), "player_titles": Base(f["player_titles"], ("player_id",), regular)}
-    games_of_team = f["team_season"].select(F.col("team_id").alias("last_team_id"), *_PERIOD, F.col("gp").alias("team_gp"))
-    spine = ps.select(*pk, "season_start", "last_team_id", "gp", "fgm", "fg3m", "ftm").join(games_of_team, ["last_team_id", *_PERIOD], "left")
-    names = f["players"].select("player_id", F.col("name").alias("player_name"))
-    sums = ps.groupBy("player_id", "season_type").agg(F.sum("gp").alias("gp"), F.sum("pts").alias("pts"))
     ts, tk = f["team_season"], ("team_id", "season", "season_type")
-    league = f["team_season"].groupBy("season", "season_start", "season_type").agg(*(F.sum(c).alias(c) for c in ("pts", "gp", "fga", "fg3a")))
+    games_of_team = ts.select(*tk, F.col("gp").alias("team_gp"))
+    people = f["players"].select("player_id", F.col("name").alias("player_name"), "rookie_season")
+    names = people.drop("rookie_season")
+    team_name = lambda rows, team="team_id", name="team_name": _era(rows, f, team, name)
+    spine = team_name(ps.withColumnRenamed("last_team_id", "team_id").join(people, "player_id").join(games_of_team, list(tk), "left"))
+    spine = spine.select("player_id", "player_name", "season", "season_start", "season_type", "team_count", "team_id", "team_name", "gp", "team_gp", (F.col("rookie_season") == F.col("season")).alias("is_rookie_season"))
+    sums = ps.join(names, "player_id").groupBy("player_id", "player_name", "season_type").agg(F.count("*").alias("seasons"), F.min("season").alias("first_season"), F.max("season").alias("last_season"))
+    league = ts.groupBy("season", "season_start", "season_type").agg(F.countDistinct("team_id").alias("teams"), *(F.sum(c).alias(c) for c in ("pts", "gp", "fga", "fg3a")))
     kinds = ts.select("season_type").distinct()
     stint = f["player_season_stint"]
     sk = ("player_id", "season", "season_type", "team_id")
+    stints = team_name(stint.select(*sk, "season_start", "gp").join(names, "player_id").join(games_of_team, list(tk), "left"))
+    stints = stints.select("player_id", "player_name", "season", "season_start", "season_type", "team_id", "team_name", "gp", "team_gp")
+    log = f["player_game"].join(names, "player_id").select("game_id", "player_id", "player_name", "team_id", "season", "season_type", "game_date", "matchup", "wl", "minutes", *BOX, "plus_minus")
+    of_team = team_name(ts.select(*tk, "season_start", "conference", "division", "conference_rank", "league_rank", "gp", "neutral_games"))
+    all_time = f["franchises"].select("franchise_id", F.col("current_name").alias("team_name")).join(F.broadcast(kinds))  # a few kinds of season
+    titles = f["team_titles"].select("franchise_id")
     out = {
-        "sem_player_season_stats": compile_metrics(spine, by_player, METRICS.at("season")).join(names, "player_id", "left"),
-        "sem_player_career_stats": compile_metrics(sums, career, METRICS.at("career")).join(names, "player_id", "left"),
-        "sem_player_stint_stats": compile_metrics(stint.select(*sk, "season_start"), {"player_season": Base(stint, sk)}, METRICS.at("stint")),
-        "sem_player_game_log": compile_metrics(f["player_game"], {"player_game": Base(f["player_game"].select("game_id", "player_id", "pts"), ("game_id", "player_id"))}, METRICS.at("game")),
-        "sem_team_season_stats": _era(compile_metrics(ts.select(*tk, "season_start", "gp", "conference", "division", "conference_rank", "league_rank"), {"team_season": Base(ts, tk)}, METRICS.at("team_season")), f),
-        "sem_team_all_time_stats": compile_metrics(f["franchises"].select(F.col("franchise_id").alias("team_id"), "current_name").join(F.broadcast(kinds)), {"team_season": Base(ts, ("team_id", "season_type")), "team_titles": Base(f["team_titles"].select("team_id"), ("team_id",))}, METRICS.at("team_all_time")),
-        "sem_league_season_stats": compile_metrics(league.select("season", "season_start", "season_type"), {"league_season": Base(league, ("season", "season_type"))}, METRICS.at("league_season")),
-        "sem_games": f["games"], "sem_shots": f["shots"].join(names, "player_id", "left"), "sem_awards": f["awards"].join(names, "player_id", "left"), "sem_records": f["records"].join(names, "player_id", "left"),
+        "sem_player_season_stats": compile_metrics(spine, by_player, METRICS.at("season")),
+        "sem_player_career_stats": compile_metrics(sums, career, METRICS.at("career")),
+        "sem_player_stint_stats": compile_metrics(stints, {"player_season": Base(stint, sk)}, METRICS.at("stint")),
+        "sem_player_game_log": compile_metrics(log, {"player_game": Base(f["player_game"].select("game_id", "player_id", "pts"), ("game_id", "player_id"))}, METRICS.at("game")),
+        "sem_team_season_stats": compile_metrics(of_team, {"team_season": Base(ts, tk)}, METRICS.at("team_season")),
+        "sem_team_all_time_stats": compile_metrics(all_time, {"team_season": Base(ts, ("franchise_id", "season_type")), "team_titles": Base(titles, ("franchise_id",))}, METRICS.at("team_all_time")),
+        "sem_league_season_stats": compile_metrics(league.select("season", "season_start", "season_type", "teams"), {"league_season": Base(league, ("season", "season_type"))}, METRICS.at("league_season")),
+        "sem_games": team_name(team_name(f["games"], "home_team_id", "home_team_name"), "away_team_id", "away_team_name"), "sem_shots": f["shots"].join(names, "player_id"), "sem_awards": f["awards"].join(names, "player_id"),
+        "sem_records": f["records"].join(names, "player_id", "left"), "sem_player_titles": f["player_titles"].join(names, "player_id"),
     }
-    for name in ("players", "player_aliases", "team_aliases", "teams", "franchises", "stat_availability", "team_titles", "player_titles"):
+    for name in ("players", "player_aliases", "team_aliases", "teams", "franchises", "stat_availability", "team_titles"):
         out[f"sem_{name}"] = f[name]
-    rows = [(m.name, m.base, ",".join(m.grains), m.unit, m.decimals, m.qualification, m.higher_is_better) for m in METRICS.metrics.values()]
-    out["sem_registry_info"] = spark.createDataFrame(rows, "metric string, base string, grains string, unit string, decimals int, qualification string, higher_is_better boolean")
+    out["sem_registry_info"] = spark.createDataFrame([(VERSION, len(METRICS.metrics))], "registry_version string, metric_count int")
     return out
-
-

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from .metrics import Metric, Registry
 
+#: Version of the definitions.
+VERSION = "0.4.0"
 _SCT = ("season", "career", "stint")
 _SC = ("season", "career")
 _T = ("team_season", "team_all_time")
@@ -79,11 +81,11 @@ RULES = {
     for r in (
         Rule("per_game_leader", "2013-14", 0.70, would_still_lead=True),
         Rule("playoffs", None, 0.70),
-        Rule("fg3_pct_leader", None, at_least=(("fg3m", 82),)),
-        Rule("ts_pct_leader", None, 0.70, (("fgm", 300),)),
-        Rule("fg_pct_leader", None, at_least=(("fgm", 300),)),
-        Rule("ft_pct_leader", None, at_least=(("ftm", 125),)),
-        Rule("career_per_game", None, any_of=(("gp", 400), ("pts", 10_000))),
+        Rule("fg3_pct_leader", "2013-14", at_least=(("threes_made", 82),)),
+        Rule("ts_pct_leader", "2013-14", 0.70, (("field_goals_made", 300),)),
+        Rule("fg_pct_leader", "2013-14", at_least=(("field_goals_made", 300),)),
+        Rule("ft_pct_leader", "2013-14", at_least=(("free_throws_made", 125),)),
+        Rule("career_per_game", None, any_of=(("games_played", 400), ("points", 10_000))),
     )
 }
 

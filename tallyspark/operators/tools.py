@@ -135,9 +135,15 @@ def _leaders(store: Store, a: dict) -> Result:
         rows = rows.join(store["sem_players"].select("player_id", F.col("rookie_season").alias("season")), ["player_id", "season"], "left_semi")
     qualified: Column | None = None
     still: Column | None = None
-    if a["qualified"] and (m.qualification or career and m.unit == "per_game"):
-        name = "career_per_game" if career and m.unit == "per_game" else "playoffs" if a["season_type"] == "Playoffs" and m.qualification == "per_game_leader" else m.qualification
-        if name and not (career and name == "per_game_leader"):
+    if a["qualified"] and m.qualification:
+        # over careers there is a rule for means per game alone, in playoffs one for those that have the games' rule
+        if career:
+            name = "career_per_game" if m.unit == "per_game" else None
+        elif a["season_type"] == "Playoffs":
+            name = "playoffs" if m.qualification == "per_game_leader" else None
+        else:
+            name = m.qualification
+        if name:
             rule = rule_for(name, a["season"] or "9999")
             qualified = qualifies(rule)
             if rule.would_still_lead:
@@ -208,8 +214,8 @@ def _record(store: Store, a: dict) -> Result:
     if a["record"] == "best_record":
         rows = _where(store["sem_team_season_stats"], season_type="Regular Season").select("team_id", "season", "wins", "losses", "win_pct")
         return Result(rows.orderBy(F.desc_nulls_last("win_pct"), F.desc("wins"), "season", "team_id").limit(a["limit"]))
-    rows = _where(store["sem_team_all_time_stats"], season_type="Regular Season").select("team_id", "championships")
-    return Result(rows.orderBy(F.desc_nulls_last("championships"), "team_id").limit(a["limit"]))
+    rows = _where(store["sem_team_all_time_stats"], season_type="Regular Season").select("franchise_id", "team_name", "championships")
+    return Result(rows.orderBy(F.desc_nulls_last("championships"), "franchise_id").limit(a["limit"]))
 
 
 def _trend(store: Store, a: dict) -> Result:

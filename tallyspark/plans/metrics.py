@@ -89,7 +89,7 @@ def leaders_qualified(t):
 
 @query(
     _SEASON + ", b AS (SELECT max(ppg) best FROM q WHERE gp >= ceil(0.7 * team_gp - 1e-9)) SELECT player, ppg, CAST(row_number() OVER (ORDER BY ppg DESC, player) AS INTEGER) rank FROM q, b"
-    " WHERE gp >= ceil(0.7 * team_gp - 1e-9) OR round(pts / greatest(gp, ceil(0.7 * team_gp - 1e-9)), 6) >= best QUALIFY rank <= 10"
+    " WHERE gp >= ceil(0.7 * team_gp - 1e-9) OR round(pts / greatest(gp, ceil(0.7 * team_gp - 1e-9)), 6) > best QUALIFY rank <= 10"
 )
 def leaders_would_still_lead(t):
     needed = F.ceil(F.col("team_gp") * F.lit(0.70) - 1e-9)
