@@ -12,6 +12,7 @@ All counts are aggregated with partial sums by host and node, so no task sees a
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .site_lines import host_of
-from .store import left_join_small, without
+from .store import left_join_small, without, written
 
 # Element names of HTML by what they mean for a main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +39,8 @@ NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus dialog feedback footer footers form gdpr header headers legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promos promotion recommended related reply replies search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets contentinfo complementary alert".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -47,18 +49,34 @@ _DIGITS = re.compile(r"\d+")
 _HAS = frozenset("has have no not with without".split())
 
 
+def _stable(*x: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+#: Elements nested deeper become siblings, as in browsers.
+DEPTH = 512
+
+
 class Element:
-    """path: what identifies it in the site's tree; noise: it or something above it is not main text; main: it is inside an
-    article or main. stated: its tag or attributes hide it; named: a word of its names does. parts: texts and child elements in
-    order."""
+    """path: a hash of what identifies it in the site's tree, 0 for the page; noise: it or something above it is not main text;
+    main: it is inside an article or main. stated: its tag or attributes hide it; named: a word of its names does. parts: texts
+    and child elements in order."""
 
-    __slots__ = ("tag", "path", "above", "stated", "named", "noise", "main", "parts")
+    __slots__ = ("tag", "path", "up", "stated", "named", "noise", "main", "parts")
 
-    def __init__(self, tag: str, path: str, above: tuple[str, ...], stated: bool, named: bool, main: bool):
-        self.tag, self.path, self.above, self.stated, self.named, self.main = tag, path, above, stated, named, main
+    def __init__(self, tag: str, path: int, up: Element | None, stated: bool, named: bool, main: bool):
+        self.tag, self.path, self.up, self.stated, self.named, self.main = tag, path, up, stated, named, main
         self.noise = False
         self.parts: list = []
 
+    def above(self) -> list[int]:
+        """The paths of the elements above, the outermost first."""
+        out, e = [], self.up
+        while e is not None and e.path:
+            out.append(e.path)
+            e = e.up
+        return out[::-1]
+
 
 def _names(attributes: str) -> list[str]:
     if "=" not in attributes:
@@ -118,7 +136,7 @@ def _mark(elements: list[Element], stated: bool, named: bool) -> None:
             size[id(e)], articles[id(e)] = n, n if e.tag == "article" and id(e) not in nested else a
         total, written_in = size[id(elements[0])], articles[id(elements[0])]
     for e in elements:
-        if e.path == "":
+        if not e.path:
             e.noise = False
         own = e.noise or e.tag == "head" or (stated and e.stated)
         if named and e.named and not own:
@@ -135,29 +153,69 @@ def _mark(elements: list[Element], stated: bool, named: bool) -> None:
                 x.noise = own
 
 
+class _Tokens:
+    """Finds the ends of tags in one pass. A tag ends at the first ">" outside of quotes; once a tag has none, quotes count as any
+    other character from there on, so no part of a page is searched again and again."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+        self.unclosed: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """The index of the ">" of a tag, or -1."""
+        pos = at
+        while self.quoted:
+            m = _STOP.search(self.page, pos)
+            close = -1 if m is None else m.start() if m[0] == ">" else self.page.find(m[0], m.end())
+            if close < 0:
+                self.quoted = False
+            elif m[0] == ">":
+                return close
+            pos = close + 1
+        return self.page.find(">", at)
+
+    def after(self, tag: str, at: int) -> int:
+        """The index after the closing tag of a raw element, or -1."""
+        if tag in self.unclosed:
+            return -1
+        close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+        if close is None:
+            self.unclosed.add(tag)
+        return close.end() if close else -1
+
+
 def _parse(page: str) -> Element:
-    root = Element("", "", (), False, False, False)
-    stack = [root]
+    root = Element("", 0, None, False, False, False)
+    stack, tokens = [root], _Tokens(page)
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
-            stack[-1].parts.append(page[at:])
             break
         if m.start() > at:
             stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
+        at = m.start()
         if m[2] is None:
+            close = page.find("-->", m.end()) + 2 if m[0] == "<!--" else page.find(">", m.end())
+            if close < 0 or (m[0] == "<!--" and close == 1):
+                at = end if m[0] == "<!--" else at
+                break
+            at = close + 1
             continue
+        close = tokens.end(m.end())
+        if close < 0:
+            break  # no tag ends any more: the rest is text
+        at, attributes = close + 1, page[m.end() : close]
         tag = m[2].lower()
         if m[1]:
-            if any(x.tag == tag for x in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    del stack[k:]
+                    break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+            after = tokens.after(tag, at)
+            at = after if after >= 0 else end if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag in CLOSES_P:
             _close(stack, "p", BLOCK - {"p"})
@@ -170,14 +228,16 @@ def _parse(page: str) -> Element:
             for x in ("td", "th", *(["tr"] if tag == "tr" else [])):
                 _close(stack, x, frozenset(["table"]))
         up = stack[-1]
-        names = _names(m[3])
+        names = _names(attributes)
         main = up.main or tag in MAIN
-        stated = tag in HIDDEN or (tag == "header" and not up.main) or (" hidden" in f" {m[3].lower()}" and re.search(r"\shidden(\s|=|$|/)", m[3].lower()) is not None)
+        stated = tag in HIDDEN or (tag == "header" and not up.main) or re.search(r"\shidden(\s|=|$|/)", f" {attributes.lower()}") is not None
         style = _DIGITS.sub("0", ".".join(sorted(set(names)))).lower()
-        own = Element(tag, f"{up.path}/{tag}{'.' + style if style else ''}", (*up.above, up.path) if up.path else (), stated, _named(names), main)
+        own = Element(tag, _stable(str(up.path), tag, style), up, stated, _named(names), main)
         up.parts.append(own)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
+        if tag not in VOID and not attributes.rstrip().endswith("/") and len(stack) < DEPTH:
             stack.append(own)
+    if at < end:
+        stack[-1].parts.append(page[at:])
     return root
 
 
@@ -198,9 +258,9 @@ def _walk(e: Element) -> Iterator[Element]:
         todo += [y for y in x.parts if not isinstance(y, str)]
 
 
-def features(page: str) -> list[tuple[str, tuple[str, ...], str, list[str]]]:
+def features(page: str) -> list[tuple[int, list[int], str, list[str]]]:
     """(path, paths above, child sequence, texts) of each node of the page that is not noise by its role."""
-    found: dict[str, tuple[tuple[str, ...], list[str], list[str]]] = {}
+    found: dict[int, tuple[Element, set[str], list[str]]] = {}
     for e in _walk(parse(page)):
         if not e.path or e.noise:
             continue
@@ -214,19 +274,19 @@ def features(page: str) -> list[tuple[str, tuple[str, ...], str, list[str]]]:
             if x.tag != last:  # a run of equal children counts as one
                 shape.append(x.tag)
                 last = x.tag
-        own = found.setdefault(e.path, (e.above, [], []))
-        own[1].append(" ".join(shape))
+        own = found.setdefault(e.path, (e, set(), []))
+        own[1].add(" ".join(shape))
         own[2].extend(texts)
-    return [(path, above, "|".join(sorted(set(shapes))), texts) for path, (above, shapes, texts) in found.items()]
+    return [(path, e.above(), "|".join(sorted(shapes)), texts) for path, (e, shapes, texts) in found.items()]
 
 
-def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
+def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
     """The blocks of the main text, parted by blank lines, without noise and without the branches at the paths in low: what is
     inside articles if that is at least half of the text in main, or of the page's if it has no main, else main or the page."""
     return _main_text(parse(page), low)
 
 
-def _inside(root: Element, cut: frozenset[str]) -> str | None:
+def _inside(root: Element, cut: frozenset[int]) -> str | None:
     """The tag whose elements hold the main text, or None for the whole page."""
     n = {"": 0, "main": 0, "article": 0}
     both = 0  # in an article in main
@@ -250,7 +310,7 @@ def _inside(root: Element, cut: frozenset[str]) -> str | None:
     return "article" if n["article"] and 2 * n["article"] >= n[""] else None
 
 
-def _main_text(root: Element, low: frozenset[str]) -> str:
+def _main_text(root: Element, low: frozenset[int]) -> str:
     for cut in (low, frozenset()):
         inside = _inside(root, cut)
         blocks: list[str] = []
@@ -293,19 +353,13 @@ def _main_text(root: Element, low: frozenset[str]) -> str:
 _FEATURES = "_host string, _copy long, _node long, _above array<long>, _shape long, _texts array<long>"
 
 
-def _stable(*x: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b("\0".join(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols: list[list] = [[] for _ in range(6)]
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             copy = _stable(page)
             for path, above, shape, texts in features(page):
-                row = (host, copy, _stable(path), [_stable(x) for x in above], _stable(shape), sorted({_stable(x) for x in texts}))
+                row = (host, copy, path, above, _stable(shape), sorted({_stable(x) for x in texts}))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
@@ -317,6 +371,7 @@ def low_branches(pages: DataFrame, html: str = "html", url: str = "url", least:
     at least. Byte-equal pages of a host count as one page, so mirrored articles do not look like boilerplate."""
     rows = pages.select(host_of(url).alias("_host"), F.col(html).alias("_html")).where("_host is not null and _html is not null")
     nodes = rows.mapInArrow(_emit, _FEATURES).groupBy("_host", "_copy", "_node").agg(F.first("_above").alias("_above"), F.first("_shape").alias("_shape"), F.first("_texts").alias("_texts"))
+    nodes = written(nodes, "nodes")  # so that each page is parsed once for them
     own = nodes.groupBy("_host", "_node", "_shape").agg(F.count("*").alias("n"), F.sum(F.size("_texts")).alias("t"), F.first("_above").alias("_above"))
     pages_of = own.groupBy("_host", "_node").agg(
         F.sum("n").alias("m"), F.sum("t").alias("t"), F.first("_above").alias("_above"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn")
@@ -353,10 +408,9 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", **tree) -
             texts = []
             for page, nodes in zip(batch.column("_html").to_pylist(), batch.column("_low").to_pylist(), strict=True):
                 root = parse(page or "")
-                cut: frozenset[str] = frozenset()
+                cut: frozenset[int] = frozenset()
                 if nodes:
-                    chosen = known.setdefault(tuple(nodes), frozenset(nodes))
-                    cut = frozenset(e.path for e in _walk(root) if e.path and _stable(e.path) in chosen)
+                    cut = known.setdefault(tuple(nodes), frozenset(nodes))
                     if len(known) > 1000:
                         known.clear()
                 texts.append(_main_text(root, cut))
