@@ -3,13 +3,15 @@
 A character language model (trigrams over letters, backed off to bigrams and letters) is counted over the whole corpus. Each
 suspicious stretch of a text (leetspeak, letters set apart by spaces or points, letters repeated) is a lattice of readings,
 and Viterbi search picks the reading with the highest probability of the letters times that of the obfuscation. The restored
-text is then scored by a list of terms, whole words and word beginnings, learned from labelled texts.
+text is then scored by a regularised logistic regression over its words and the beginnings of its longer words, each as there
+once and as there twice, fitted to labelled texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import as_bytes, without, written
-from .words import buffers, scan, spaced
+from .words import BYTE, Rule, buffers, mix, powers, scan, spaced
 
 # Letters that a digit or sign stands for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
@@ -179,58 +181,106 @@ def _restored_texts(column: pa.Array, decoder: Decoder) -> Iterator[bytes]:
             yield restored(c, k, body, list(zip((c.start[words] - base).tolist(), (c.end[words] - base).tolist(), strict=True)), decoder)
 
 
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
-#: Lengths in bytes of the beginnings that can be terms.
-PREFIXES = range(3, 11)
+#: Lengths in bytes of the beginnings that are features of longer words.
+PREFIXES = range(5, 11)
+_LETTERS = Rule(np.array([not (97 <= b <= 122 or b >= 128) for b in range(256)]), np.arange(256, dtype=np.uint8))
+_BEGINNING, _TWICE = 0x5851F42D4C957F2D, np.uint64(0x14057B7EF767814F)
 
 
-def _terms(low: bytes) -> set[bytes]:
-    """The whole words of a restored text (ending in a space) and the beginnings of longer ones, each also with "2" after it if
-    the text has two such words or more."""
-    from collections import Counter
-
-    tally: Counter = Counter()
-    for w, n in Counter(_WORD.findall(low)).items():
-        tally[w + b" "] += n
+def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each chunk of lower-case texts the number of texts, and for their distinct features text and hash."""
+    for c in scan(column, _LETTERS):
+        up, down = powers(len(c.data) + 1)
+        total = np.zeros(len(c.data) + 1, np.uint64)
+        np.cumsum(BYTE[c.data] * up[:-1], out=total[1:])
+        docs, hashes = [c.doc], [c.hash]
         for k in PREFIXES:
-            if len(w) > k:
-                tally[w[:k]] += n
-    return {*tally, *(t + b"2" for t, n in tally.items() if n > 1)}
-
-
-class Matcher:
-    """Finds the terms in a restored text."""
-
-    def __init__(self, terms: dict[bytes, float]):
-        self.terms = [(t, t.rstrip(b" 2"), b" " in t, 2 if t.endswith(b"2") else 1) for t in terms]
-        stems = sorted({x[1] for x in self.terms}, key=lambda t: (-len(t), t))
-        letters = rb"[a-z\x80-\xff]"
-        self.words = re.compile(rb"(?<!" + letters + rb")(?:" + b"|".join(map(re.escape, stems)) + rb")" + letters + rb"*") if stems else None
-
-    def __call__(self, low: bytes) -> list[bytes]:
-        words = self.words.findall(low) if self.words else ()
-        if not words:
-            return []
-        return [t for t, stem, whole, least in self.terms if sum((w == stem) if whole else (len(w) > len(stem) and w.startswith(stem)) for w in words) >= least]
+            at = np.flatnonzero(c.end - c.start > k)
+            start = c.start[at]
+            docs.append(c.doc[at])
+            hashes.append(mix((total[start + k] - total[start]) * down[start] + np.uint64(_BEGINNING * k % (1 << 64))))
+        doc, h = np.concatenate(docs), np.concatenate(hashes)
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+        at = np.flatnonzero(first)
+        twice = at[np.diff(np.append(at, len(h))) > 1]
+        yield c.n_docs, np.concatenate([doc[at], doc[twice]]), np.concatenate([h[at], mix(h[twice] + _TWICE)])
+
+
+@dataclass(frozen=True)
+class Model:
+    """A logistic regression: features (hashes, sorted), a weight for each, and the log odds of a text without any."""
+
+    hashes: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each lower-case text, and how many of the features it has."""
+        sums, found = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for n_docs, doc, h in features(column):
+            at, known = _among(self.hashes, h)
+            sums.append(np.bincount(doc[known], weights=self.weights[at[known]], minlength=n_docs))
+            found.append(np.bincount(doc[known], minlength=n_docs))
+        return 1 / (1 + np.exp(-np.clip(self.bias + np.concatenate(sums), -60, 60))), np.concatenate(found)
+
+
+def _among(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x is in the sorted values, and which are there."""
+    if not len(values):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    return at, values[at] == x
+
+
+def fitted(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, n_features: int, ridge: float = 0.2, rounds: int = 3000) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression of y on 0/1 features (one entry a row and column), with a penalty of
+    ridge / 2 on the squared weights, by accelerated gradient steps until the gradient vanishes."""
+    times = lambda w: np.bincount(rows, weights=w[columns], minlength=len(y))
+    back = lambda r: np.bincount(columns, weights=r[rows], minlength=n_features)
+    # the largest eigenvalue of the squared features bounds the steps
+    v, top = np.ones(n_features), 1.0
+    for _ in range(30):
+        v = back(times(v))
+        top = float(np.linalg.norm(v)) or 1.0
+        v = v / top
+    step = 1 / (0.25 * (top * 1.05 + len(y)) + ridge)
+    w, b, last_w, last_b = np.zeros(n_features), 0.0, np.zeros(n_features), 0.0
+    for k in range(rounds):
+        speed = k / (k + 3)
+        at_w, at_b = w + speed * (w - last_w), b + speed * (b - last_b)
+        off = 1 / (1 + np.exp(-np.clip(times(at_w) + at_b, -60, 60))) - y
+        gw, gb = back(off) + ridge * at_w, float(off.sum())
+        last_w, last_b = w, b
+        w, b = at_w - step * gw, at_b - step * gb
+        if max(np.abs(gw).max(initial=0.0), abs(gb)) < 1e-4:
+            break
+    return w, b
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, letters, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, min_share: float = 0.004) -> tuple[float, dict[bytes, float]]:
-    """The share of toxic texts and the terms (see _terms()), each with the probability that a text with it is toxic.
+def learn(docs: DataFrame, labels: DataFrame, letters, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, min_share: float = 0.01) -> Model:
+    """The model of labelled texts.
 
     At most about max_rows labelled rows that are not held out are learned from, half of each label where there are enough,
-    drawn by a hash of the id. Terms are chosen one by one: the one that marks most toxic texts not yet marked, among those
-    whose texts are nearly all toxic, until the next would mark less than min_share of them.
+    drawn by a hash of the id; of near copies one. Features are those that min_share of the toxic texts have, and a toxic text
+    more than three times as often as another; each is in that share of at most max_rows texts, which bounds their number. The
+    intercept is moved to the share of toxic texts among all labelled ones. Without a toxic text every score is that share
+    (of one text more in two).
     """
     known = labels.where(~held_out(doc_id) & F.col(label).isNotNull()).select(doc_id, F.col(label).cast("int").alias("_y")).distinct()
     sizes = dict(known.groupBy("_y").count().collect())
-    if not sizes.get(1):
-        return (1 / (sum(sizes.values()) + 2), {})
+    prior = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior)) if sizes.get(1) else -6.0))
+    if not sizes.get(1) or not sizes.get(0):
+        return none
     draw = F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) / F.lit(1 << 20)
-    share = F.when(F.col("_y") == 1, min(1.0, max_rows / 2 / sizes[1])).otherwise(min(1.0, max_rows / 2 / max(sizes.get(0, 0), 1)))
+    share = F.when(F.col("_y") == 1, min(1.0, max_rows / 2 / sizes[1])).otherwise(min(1.0, max_rows / 2 / sizes[0]))
     chosen = F.broadcast(known.where(draw < share))  # at most about max_rows pairs of numbers
     rows = docs.select(doc_id, as_bytes(text).alias("_bytes")).join(chosen, doc_id).select("_bytes", "_y")
 
@@ -246,90 +296,72 @@ def learn(docs: DataFrame, labels: DataFrame, letters, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([low, batch.column(1), pa.array(least, pa.int64())], names=["_low", "_y", "_sig"])
 
     # of texts that share the least of their three-word shingles' hashes, near copies mostly, one is learned from
-    rows = written(rows.mapInArrow(signed, "_low binary, _y int, _sig long").groupBy("_y", "_sig").agg(F.min("_low").alias("_low")).select("_low", "_y"), "learned")
+    rows = rows.mapInArrow(signed, "_low binary, _y int, _sig long").groupBy("_y", "_sig").agg(F.min("_low").alias("_low"))
+    rows = written(rows.select("_low", "_y", F.monotonically_increasing_id().alias("_row")), "learned")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        pos, neg = Counter(), Counter()
-
-        def out(least: int):
-            keys = [k for k in pos if pos[k] >= least] + [k for k in neg if k not in pos and neg[k] >= least]
-            rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], names=["term", "pos", "neg"])
-            pos.clear(), neg.clear()
-            return rows
-
         for batch in batches:
-            for low, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (pos if y == 1 else neg).update(_terms(low))
-                if len(pos) + len(neg) > 400_000:
-                    yield out(1)
-        yield out(1)
-
-    counts = rows.mapInArrow(counted, "term binary, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n_pos = rows.where("_y = 1").count()
-    n_neg = rows.where("_y = 0").count()
+            y, base = batch.column(1).to_numpy(), 0
+            for n_docs, doc, h in features(batch.column(0)):
+                keys, at = np.unique(h, return_inverse=True)
+                pos = np.bincount(at.ravel(), weights=y[base : base + n_docs][doc], minlength=len(keys)).astype(np.int64)
+                base += n_docs
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), pa.array(pos, pa.int64()), pa.array(np.bincount(at.ravel(), minlength=len(keys)) - pos, pa.int64())], names=["term", "pos", "neg"])
+
+    counts = rows.mapInArrow(counted, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    n = dict(rows.groupBy("_y").count().collect())
+    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     least = max(3, int(min_share * n_pos))
-    strong = counts.where((F.col("pos") >= least) & (F.col("pos") / max(n_pos, 1) > 10 * F.col("neg") / max(n_neg, 1)))
-    terms = {bytes(t): (p, n) for t, p, n in strong.orderBy(F.desc("pos"), "neg", "term").limit(5000).collect()}
-    if not terms:
-        return (n_pos + 1) / (n_pos + n_neg + 2), {}
+    strong = counts.where((F.col("pos") >= least) & (F.col("pos") / max(n_pos, 1) > 3 * F.col("neg") / max(n_neg, 1)))
+    hashes = np.sort(np.array([r[0] for r in strong.select("term").collect()], np.int64).view(np.uint64))
+    if not len(hashes) or not n_neg:
+        return none
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(_terms(low) & terms.keys()) for low in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], names=["terms"])
-
-    from collections import Counter
-
-    texts = [{bytes(t) for t in r[0]} for r in rows.where("_y = 1").mapInArrow(marked, "terms array<binary>").collect()]
-    # the sample holds other parts of the toxic and the other texts; odds are those of all labelled texts
-    more_pos, more_neg = sizes[1] / max(n_pos, 1), sizes.get(0, 0) / max(n_neg, 1)
-    chosen_terms: dict[bytes, float] = {}
-    while texts:
-        tally = Counter(t for x in texts for t in x)
-        # the shortest of equally good beginnings also covers endings not seen
-        gain = {t: n - 2 * terms[t][1] * n_pos / max(n_neg, 1) for t, n in tally.items()}
-        best = min(gain, key=lambda t: (-gain[t], t.endswith(b"2"), len(t), t), default=None)
-        if best is None or gain[best] < least:
-            break
-        p, n = terms[best][0] * more_pos, terms[best][1] * more_neg
-        chosen_terms[best] = (p + 0.5) / (p + n + 1)
-        texts = [x for x in texts if best not in x]
-    # further terms that are as sure and not rare, so that a text is not missed for having other words than those above
-    for t in sorted(terms, key=lambda t: (t.endswith(b"2"), len(t), t)):
-        p, n = terms[t][0] * more_pos, terms[t][1] * more_neg
-        stem = t.rstrip(b" 2")
-        if terms[t][0] >= max(5, 0.03 * n_pos) and p > 0.9 * (p + n) and not any(stem.startswith(c.rstrip(b" 2")) or c.rstrip(b" 2").startswith(stem) for c in chosen_terms):
-            chosen_terms[t] = (p + 0.5) / (p + n + 1)
-    prior = sizes[1] / sum(sizes.values())
-    return prior, chosen_terms
-
-
-def score(docs: DataFrame, prior: float, terms: dict[bytes, float], letters, text: str = "text", keep_restored: bool = False) -> DataFrame:
-    """docs (without the text) with score (0 to 1), n_terms (different terms found) and, if asked for, restored: the text as
+            ids, base = batch.column(1).to_numpy(), 0
+            lows = []
+            for low in batch.column(0).to_pylist():
+                words = low.split()
+                lows += [low, b" ".join(words[::2]), b" ".join(words[1::2])]
+            for n_docs, doc, h in features(pa.array(lows, pa.binary())):
+                at, there = _among(hashes, h)
+                own = base + doc[there]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own // 3] * 3 + own % 3, pa.int64()), pa.array(at[there], pa.int32())], names=["_row", "feature"])
+                base += n_docs
+
+    # each text is learned from whole and by every other word, so that what marks it together with more also does alone; a
+    # toxic text's part that has none of the features says nothing
+    entries = rows.select("_low", "_row").mapInArrow(marked, "_row long, feature int").toPandas()
+    texts = rows.select("_row", "_y").toPandas().sort_values("_row")
+    ids = (texts["_row"].to_numpy()[:, None] * 3 + np.arange(3)).ravel()
+    y = np.repeat(texts["_y"].to_numpy(np.float64), 3)
+    use = (ids % 3 == 0) | (y == 0) | np.isin(ids, entries["_row"].to_numpy())
+    ids, y = ids[use], y[use]
+    weights, bias = fitted(np.searchsorted(ids, entries["_row"].to_numpy()), entries["feature"].to_numpy(np.int64), y, len(hashes))
+    # the sample holds other parts of the toxic and the other texts
+    bias += np.log(prior / (1 - prior)) - np.log(y.sum() / (len(y) - y.sum()))
+    return Model(hashes, weights, float(bias))
+
+
+def score(docs: DataFrame, model: Model, letters, text: str = "text", keep_restored: bool = False) -> DataFrame:
+    """docs (without the text) with score (0 to 1), n_terms (different features found) and, if asked for, restored: the text as
     it was scored, lower-cased, where it was obfuscated (else null).
 
-    The score is the chance that at least one of the terms found, taken as independent, means a toxic text, or the prior.
-    Null and empty texts get the prior; repeated rows are scored each; columns whose names clash are replaced.
+    Null and empty texts get the score of a text without any feature; repeated rows are scored each; columns whose names clash
+    are replaced.
     """
     added = ("score", "n_terms", "restored")
     base = without(docs, *(x for x in added if x != text), "_bytes")
     rest = [f for f in base.schema.fields if f.name.lower() != text.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, matcher = Decoder(letters.value), Matcher(terms)
+        decoder = Decoder(letters.value)
         for batch in batches:
-            scores, found, texts = [], [], []
             column = batch.column("_bytes")
-            for k, low in enumerate(_restored_texts(column, decoder)):
-                hits = matcher(low)
-                miss = 1 - prior
-                for h in hits:
-                    miss *= 1 - terms[h]
-                scores.append(1 - miss)
-                found.append(len(hits))
-                texts.append(low.decode("utf-8", "replace") if keep_restored and low != (column[k].as_py() or b"").lower() else None)
+            lows = list(_restored_texts(column, decoder))
+            scores, found = model.scores(pa.array(lows, pa.binary()))
+            texts = [low.decode("utf-8", "replace") if keep_restored and low != (column[k].as_py() or b"").lower() else None for k, low in enumerate(lows)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in rest), pa.array(scores, pa.float64()), pa.array(found, pa.int64()), pa.array(texts, pa.string())], names=[*(f.name for f in rest), *added]
             )
@@ -339,9 +371,9 @@ def score(docs: DataFrame, prior: float, terms: dict[bytes, float], letters, tex
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, **more) -> DataFrame:
-    """score() with a language model of all of docs and terms learned from labels; adds held_out."""
+    """score() with a language model of all of docs and a regression learned from labels; adds held_out."""
     spark = docs.sparkSession
     counts = trigram_counts(docs, text).toPandas()  # bounded by the number of letters, cubed
     letters = spark.sparkContext.broadcast(Letters(counts["key"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)).log)
-    prior, terms = learn(docs, labels, letters, doc_id, text, label, max_rows)
-    return score(docs, prior, terms, letters, text, **more).withColumn("held_out", held_out(doc_id))
+    model = learn(docs, labels, letters, doc_id, text, label, max_rows)
+    return score(docs, model, letters, text, **more).withColumn("held_out", held_out(doc_id))

@@ -74,7 +74,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: What a byte adds to a sum.
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 @dataclass
@@ -157,7 +158,7 @@ def _chunk(first: int, offsets: np.ndarray, data: np.ndarray, rule: Rule) -> Chu
     doc = np.searchsorted(offsets, start, "right") - 1
     up, down = powers(size + 1)
     total = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE[rule.folded[data]] * up[:size], out=total[1:])
+    np.cumsum(BYTE[rule.folded[data]] * up[:size], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     for k in np.flatnonzero(end - start > LONG).tolist():
         hashes[k] = int.from_bytes(hashlib.blake2b(rule.folded[data[start[k] : end[k]]].tobytes(), digest_size=8).digest(), "little")
