@@ -33,8 +33,8 @@ RARE = 8
 #: Bits of a set's sketch, and the columns that hold them.
 BITS = 1024
 _SKETCH = tuple(f"b{k}" for k in range(BITS // 64))
-#: Times that sets which share too few keys are left out.
-PRUNED = 2
+#: Times that sets which share too few keys are left out; a second time finds hardly any more.
+PRUNED = 1
 #: Keys that a task holds before it passes them on, which bounds its memory.
 HELD_KEYS = 200_000
 #: Bytes (as JSON) up to which a table of ids is broadcast.

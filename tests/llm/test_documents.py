@@ -224,8 +224,8 @@ def test_decontamination_against_brute_force(spark, docs):
     items = [(1, " ".join((body[9] or "").split()[:30])), (2, "two words"), (10, None), (11, ""), (12, body[20]), (13, " ".join((body[20] or "").split()[3:18])), (7, "again again again again"), (8, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {i: brute_hits(t, items) for i, t in enumerate(body)}
-    for block in (16_000_000, 150):  # one automaton, and several
-        rows = decontaminate(docs, bench, cut=True, block_chars=block).collect()
+    for block, most in ((16_000_000, 16_000_000), (150, 16_000_000), (150, 1)):  # one automaton, several, and several passes
+        rows = decontaminate(docs, bench, cut=True, block_bytes=block, pass_bytes=most).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], ",".join(r["item_ids"])) for r in rows} == want
         for r in rows:
             if r["n_hit"]:
@@ -249,7 +249,7 @@ def test_automaton_holds_every_run():
             grams = {tuple(w[i : i + n].tolist()) for i in range(len(w) - n + 1)}
             want |= {(i, i + n, name) for i in range(len(text) - n + 1) if tuple(text[i : i + n].tolist()) in grams}
         codes = np.searchsorted(own.vocabulary, text).tolist()
-        assert {(a, b, own.names[k]) for a, b, ks in own.matches(codes) for k in ks} == want
+        assert {(a, b, own.names[k]) for a, b, ks in own.packed().matches(codes) for k in ks} == want
 
 
 def test_digest_of_kept_words(spark):
