@@ -6,8 +6,8 @@ the same in both: equal segments are the keys under which sets meet, and no simi
 pair is verified by counting its overlap fragment by fragment and summing the partial counts.
 
 Groups of copies are never expanded into pairs. Equal sets are one class from the start. Each class is first compared with one
-other class, one that meets many, and what these links connect is one component. Pairs are then sought only between components,
-only where enough keys are shared, only where the sizes leave room for a link after the n-grams that at most RARE candidates have
+other class, one that meets many, and what these links connect is one component; then sets outside of the largest component at a
+key with one of its sets there. Pairs are then sought only between components that are still apart, only where enough keys are shared, only where the sizes leave room for a link after the n-grams that at most RARE candidates have
 (sets that share such n-grams are paired by them, and their count bounds the overlap), and only where the sets' sketches do not
 differ in more bits than similar sets can differ in n-grams. All other pairs cannot link or are connected already.
 """
@@ -408,6 +408,15 @@ def _room(n: Column, u: Column, p: int, q: int) -> tuple[Column, Column]:
     return low, high
 
 
+def _fewer(members: DataFrame) -> DataFrame:
+    """Members (key, id, root and more) at keys of several components that are not of the largest there, with _most, its root,
+    and _of, one of its sets there."""
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.max_by("id", F.xxhash64("id", "key")).alias("of"))
+    largest = counts.groupBy("key").agg(F.max_by(F.struct("root", "of"), F.struct("c", -F.col("root"))).alias("m"), F.count("*").alias("_roots"))
+    largest = largest.where("_roots > 1").select("key", F.col("m.root").alias("_most"), F.col("m.of").alias("_of"))
+    return members.join(largest, "key").where("root <> _most")
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, p: int = 90, q: int = 100) -> DataFrame:
     """key, n_shingles and component_id for every row of docs.
 
@@ -456,23 +465,31 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     close = rare.where("b is not null").withColumnRenamed("n", "s").join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
     most = F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b")) + F.col("s")
     close = close.where((F.col("root_a") != F.col("root_b")) & ((p + q) * most >= p * (F.col("n_a") + F.col("n_b")))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    counts = left.groupBy("key", "root").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("key").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("_most"), F.count("*").alias("_roots")).where("_roots > 1").drop("_roots")
-    fewer = left.join(largest, "key").where("root <> _most")
-    other = left.select("key", *(F.col(c).alias(f"_{c}") for c in ("id", "root", "n", "low", "high", *_SKETCH)))
-    room = (F.col("root") != F.col("_root")) & F.col("_n").between(F.col("low"), F.col("high")) & F.col("n").between(F.col("_low"), F.col("_high"))
+    sides = ("id", "root", "n", "low", "high", *_SKETCH)
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in _SKETCH), F.lit(0))
-    room &= apart <= F.expr(f"(n + _n) * {q - p} div {q + p}")
+    room = (F.col("root") != F.col("_root")) & F.col("_n").between(F.col("low"), F.col("high")) & F.col("n").between(F.col("_low"), F.col("_high")) & (apart <= F.expr(f"(n + _n) * {q - p} div {q + p}"))
+    pair = (F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"))
+    # a set outside of a key's largest component first meets one set of that component at each key, another one at each
+    fewer = _fewer(left)
+    others = left.select(*(F.col(c).alias(f"_{c}") for c in sides)).distinct()
+    some = fewer.join(others, F.col("_of") == F.col("_id")).where(room).select(*pair).unionByName(close).distinct()
+    second = written(_links(some, segments, p, q), "links")
+    edge = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))  # links are given by their roots, so rounds work on few edges
+    known, roots = roots, components(edge.unionByName(second))
+    forget(known, second)
+    # what is still apart meets all sets of other components at its keys
+    moved = roots.select("id", F.col("root").alias("_now"))
+    left, before = written(left.join(moved, "id", "left").withColumn("root", F.coalesce("_now", "root")).drop("_now"), "room"), left
+    other = left.select("key", *(F.col(c).alias(f"_{c}") for c in sides))
     # a pair counts once at a key: from the one that is not of the largest component, or else from the larger id
     once = (F.col("_root") == F.col("_most")) | (F.col("id") > F.col("_id"))
-    met = fewer.join(other, "key").where(room & once).select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"), _odd().alias("odd"), "n")
+    met = _fewer(left).join(other, "key").where(room & once).select(*pair, _odd().alias("odd"), "n")
     met = met.groupBy("a", "b", "odd").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= scheme.needed(F.col("n"), F.col("odd")))
-    pairs = met.select("a", "b").unionByName(close).distinct()
-    second = written(_links(pairs, segments, p, q), "links")
-    forget(open_members, rare, left, segments)
-    # first links are given by their roots, so the last round works on few edges
-    known, roots = roots, components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second))
-    forget(known, second)
+    third = written(_links(met.select("a", "b").distinct(), segments, p, q), "links")
+    forget(open_members, rare, before, left, segments)
+    edge = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    known, roots = roots, components(edge.unionByName(third))
+    forget(known, third)
     named = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("_doc").alias("component_id"), F.sum("_rows").alias("_size")).where("_size > 1").drop("_size")
     final = written(named.join(least, "root").select(F.col("id").alias("_id"), "component_id"), "components")
