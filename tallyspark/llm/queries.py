@@ -13,6 +13,7 @@ from .outliers import estimates, judged, statistics
 from .sharding import assign_shards
 from .site_lines import EDGES, HIDDEN, HOST, PARTS, drop_site_lines, host_of, html_lines
 from .site_tree import main_texts
+from .simhash import simhash_components
 from .store import table, written
 from .substrings import remove_repeats
 from .toxicity import toxicity
@@ -69,7 +70,11 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_lines(pages, html_lines("html"), host_of("url")).select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op4_licenses, op5_main_text, op6_mixing, op7_jaccard, op8_toxicity, op9_decontaminate, op10_site_lines)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op4_licenses, op5_main_text, op6_mixing, op7_jaccard, op8_toxicity, op9_decontaminate, op10_site_lines, op11_simhash)}
 
 #: A word of op9's rule; texts have A-Z lower-cased first.
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
