@@ -17,6 +17,7 @@ from .simhash import simhash_components
 from .store import table, written
 from .substrings import remove_repeats
 from .toxicity import toxicity
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 
 #: The byte limit of a shard.
 SHARD_BYTES = 1_500_000
@@ -74,7 +75,11 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op4_licenses, op5_main_text, op6_mixing, op7_jaccard, op8_toxicity, op9_decontaminate, op10_site_lines, op11_simhash)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op4_licenses, op5_main_text, op6_mixing, op7_jaccard, op8_toxicity, op9_decontaminate, op10_site_lines, op11_simhash, op12_vector_codes)}
 
 #: A word of op9's rule; texts have A-Z lower-cased first.
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -151,3 +156,25 @@ lists AS (SELECT host, list(line) c FROM common GROUP BY 1),
 kept AS (SELECT page_id, p.host, l, list_filter(l, lambda x: c IS NULL OR NOT list_contains(c, x)) k FROM p LEFT JOIN lists ON p.host = lists.host)
 SELECT page_id, host, CAST(len(l) AS BIGINT) n_lines, CAST(len(l) - len(k) AS BIGINT) n_dropped, coalesce(array_to_string(k, chr(10)), '') AS "text" FROM kept""",
 }
+
+
+def _vector_codes_sql() -> str:
+    """Each round is two tables: the nearest entry of every part, and the entries that follow."""
+    number = f"list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE)))"
+    steps = [
+        f"k AS (SELECT vec_id, label, {number} v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, label, j, v[j * (len(v) // {PARTS}) + 1:(j + 1) * (len(v) // {PARTS})] x FROM k, (SELECT unnest(range({PARTS})) j))",
+        f"c0 AS (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 e, x FROM p QUALIFY e < {ENTRIES})",
+    ]
+    for r in range(ROUNDS + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, label, p.j, p.x, e, list_inner_product(c.x, c.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(p.x, p.x) d FROM p JOIN c{r} c ON p.j = c.j
+  QUALIFY row_number() OVER (PARTITION BY vec_id, p.j ORDER BY d, e) = 1)""")
+        if r < ROUNDS:
+            steps.append(f"""m{r} AS (SELECT j, e, list(v ORDER BY i) x FROM (SELECT j, e, i, floor(sum(x[i]) / count(*)) v FROM (SELECT j, e, x, unnest(range(1, len(x) + 1)) i FROM a{r}) GROUP BY ALL) GROUP BY ALL)""")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.j, c.e, coalesce(m.x, c.x) x FROM c{r} c LEFT JOIN m{r} m ON m.j = c.j AND m.e = c.e)")
+    steps.append(f"""f AS (SELECT vec_id, any_value(label) label, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY j) code, CAST(sum(d) AS BIGINT) error FROM a{ROUNDS} GROUP BY vec_id)""")
+    steps.append(f"h AS (SELECT sha256(string_agg(t, ',' ORDER BY j, e)) s FROM (SELECT j, e, array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ',') t FROM c{ROUNDS}))")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) label_error, s codebooks_sha256 FROM f, h"
+
+
+SQL["op12_vector_codes"] = _vector_codes_sql()
