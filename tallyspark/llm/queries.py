@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, decontaminate
 from .jaccard import similar_components
+from .leaderboard import sales_feed
 from .licenses import TEMPLATES, scan_licenses, templates
 from .mixing import mix
 from .outliers import estimates, judged, statistics
@@ -79,7 +80,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op4_licenses, op5_main_text, op6_mixing, op7_jaccard, op8_toxicity, op9_decontaminate, op10_site_lines, op11_simhash, op12_vector_codes)}
+def op13_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_feed(*(table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")))
+
+
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_substrings, op3_sharding, op4_licenses, op5_main_text, op6_mixing, op7_jaccard, op8_toxicity, op9_decontaminate, op10_site_lines, op11_simhash, op12_vector_codes, op13_leaderboard)}
 
 #: A word of op9's rule; texts have A-Z lower-cased first.
 _WORD9 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -178,3 +183,24 @@ def _vector_codes_sql() -> str:
 
 
 SQL["op12_vector_codes"] = _vector_codes_sql()
+
+#: The checksum is computed byte by byte with the usual table, which SQL makes from the polynomial.
+SQL["op13_leaderboard"] = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t),
+l AS (SELECT *, coalesce(CAST(sale_id AS VARCHAR), '') || ',' || coalesce(CAST(item_id AS VARCHAR), '') || ',' || coalesce(CAST(vendor_id AS VARCHAR), '') || ',' || coalesce(CAST(line_no AS VARCHAR), '') k FROM sale_lines),
+h AS (SELECT l.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) h FROM l, crc),
+c AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END a FROM (SELECT *, coalesce(date_diff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)), 19723 + h % 150) s FROM h)),
+n AS (SELECT *, CAST(least(10, greatest(1, 1 + floor((a - 19723) * 10 / 180))) AS INTEGER) b FROM c),
+m AS (SELECT b, max(s) m FROM n GROUP BY b),
+late AS (SELECT x.b, max(y.m) top FROM m x LEFT JOIN m y ON y.b < x.b GROUP BY x.b),
+k AS (SELECT nation_id, n.item_id, a, sum((CASE WHEN flag = 'swapped' THEN -1 ELSE 1 END) * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0)) v
+  FROM n JOIN late ON late.b = n.b JOIN items ON items.item_id = n.item_id JOIN vendors ON vendors.vendor_id = n.vendor_id WHERE nation_id IS NOT NULL AND (top IS NULL OR s + 3 >= top) GROUP BY ALL),
+run AS (SELECT nation_id, item_id, a, sum(v) OVER w r, coalesce(lead(a) OVER w, 999999) z FROM k WINDOW w AS (PARTITION BY nation_id, item_id ORDER BY a)),
+d AS (SELECT nation_id, a, lag(a) OVER (PARTITION BY nation_id ORDER BY a) p FROM (SELECT DISTINCT nation_id, a FROM k)),
+board AS (SELECT d.nation_id, d.a, item_id, row_number() OVER (PARTITION BY d.nation_id, d.a ORDER BY r DESC, item_id) place FROM d JOIN run ON run.nation_id = d.nation_id AND run.a <= d.a AND d.a < z WHERE r > 0 QUALIFY place <= 10),
+old AS (SELECT d.nation_id, d.a, item_id, place FROM d JOIN board ON board.nation_id = d.nation_id AND board.a = d.p),
+e AS (SELECT coalesce(x.nation_id, y.nation_id) nation_id, coalesce(x.a, y.a) a, coalesce(x.item_id, y.item_id) item_id, y.place o, x.place w
+  FROM board x FULL JOIN old y ON x.nation_id = y.nation_id AND x.a = y.a AND x.item_id = y.item_id WHERE x.place IS DISTINCT FROM y.place)
+SELECT CAST(e.nation_id AS INTEGER) nation_id, CAST(e.a AS BIGINT) arrival_day, CAST(e.item_id AS BIGINT) item_id, CAST(least(10, greatest(1, 1 + floor((e.a - 19723) * 10 / 180))) AS INTEGER) batch,
+  CASE WHEN o IS NULL THEN 'enter' WHEN w IS NULL THEN 'exit' ELSE 'move' END change, CAST(o AS INTEGER) old_rank, CAST(w AS INTEGER) new_rank, CAST(r AS BIGINT) revenue
+FROM e JOIN run ON run.nation_id = e.nation_id AND run.item_id = e.item_id AND run.a <= e.a AND e.a < z"""

@@ -47,8 +47,8 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """The frame written as Parquet to the shared folder and read back: later readers do not depend on its lineage, and no
+def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """The frame written as Parquet to the shared folder (in folders by a column, if asked for) and read back: later readers do not depend on its lineage, and no
     executor holds the only copy. Shuffle files of the query go when it is written, the table with forget() or when the
     process ends."""
     spark = df.sparkSession
@@ -57,7 +57,7 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     spark.conf.set(_CLEANUP[0], "true")
     spark.conf.set(_BATCH[0], str(min(BATCH_ROWS, int(before[_BATCH[0]]))))
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
