@@ -211,6 +211,7 @@ def settings(spark: SparkSession, **values: str):
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores holds 4 MB of disk
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
