@@ -1,52 +1,14 @@
-"""Numbers stated in texts, and comparison of names."""
+"""Whether a statement fits a value, and comparison of names."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NUMBER = re.compile(r"(?<![\w.])([+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[+-]?\d+(?:\.\d+)?)(\s?%|(?:\s?(?:k|m|bn|million|billion|thousand))\b)?", re.I)
-_SEASON = re.compile(r"\b(?:19|20)\d\d[-–]\d\d\b")
-_DATE = re.compile(r"\b\d{4}-\d\d-\d\d\b")
-# What a scale multiplies by.
-_SCALE = {"k": 3, "thousand": 3, "m": 6, "million": 6, "bn": 9, "billion": 9}
-
-
-def extract_numbers(text: str | None) -> list[dict]:
-    """The numbers of a text: value, decimals as stated, whether it is a percentage. Seasons and dates are not numbers."""
-    if not text:
-        return []
-    text = unicodedata.normalize("NFKC", text)
-    text = _SEASON.sub(" ", _DATE.sub(" ", text))
-    found = []
-    for m in _NUMBER.finditer(text):
-        digits = m[1].replace(",", "")
-        tail = (m[2] or "").strip().lower()
-        value = Decimal(digits).scaleb(_SCALE.get(tail, 0))
-        found.append({"value": float(value), "decimals": len(digits.partition(".")[2]), "percent": tail == "%"})
-    return found
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("decimals", T.IntegerType()), T.StructField("percent", T.BooleanType())])))
-def _extract(texts: pd.Series) -> pd.Series:
-    return texts.map(extract_numbers)
-
-
-def numbers_in(text: str | Column) -> Column:
-    """extract_numbers() of a column, in Arrow batches."""
-    return _extract(text)
-
-
-def half_up(x: float, decimals: int) -> Decimal:
-    """Rounds the shortest decimal form of x, halves away from zero."""
-    return Decimal(repr(x)).quantize(Decimal(1).scaleb(-decimals), ROUND_HALF_UP)
-
+from .numbers import half_up
 
 def states(stated: float, decimals: int, percent: bool, value: float, most: int, fraction: bool) -> bool:
     """Whether a stated number is a fair rounding of a value shown with `most` decimals. Fractions may be stated as percentages
