@@ -52,16 +52,16 @@ def carry_over(t):
 
 
 _LETTER = r"[^\p{L}\p{N}_"
-_AMOUNT = rf"(?:^|{_LETTER}.])([+-]?)((?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.[0-9]+)?|\.[0-9]+)(%?)(?:\s?(k|K|M|bn|thousand|million|billion)\b)?"
+_AMOUNT = rf"{_LETTER}.]([+-]?)((?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.[0-9]+)?|\.[0-9]+)(%?)(?:\s?(k|K|M|bn|thousand|million|billion)\b)?"
 
 
 @query(
-    rf"""WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+    rf"""WITH d AS (SELECT doc_id, ' ' || coalesce(text, '') t FROM documents),
 a AS (SELECT doc_id, t, regexp_replace(regexp_replace(t, '(^|{_LETTER}.-])([0-9]{{4}}-[0-9]{{2}}(?:-[0-9]{{2}})?)({_LETTER}-]|$)', '\1 \3', 'g'), '(^|{_LETTER}.-])(?i:[0-9]+-point(?:er)?s?\b|[23]P[TMA%]?\b|[23]s\b)', '\1 ', 'g') rest FROM d),
 m AS (SELECT doc_id, regexp_extract(piece, '{_AMOUNT}', ['sign', 'n', 'pct', 'scale']) g FROM (SELECT doc_id, unnest(regexp_extract_all(rest, '{_AMOUNT}')) piece FROM a)),
 v AS (SELECT doc_id, g, CAST(CASE WHEN g.sign = '-' THEN '-' ELSE '' END || replace(g.n, ',', '') AS DECIMAL(36, 6)) * CASE WHEN g.scale IN ('k', 'K', 'thousand') THEN 1000 WHEN g.scale IN ('M', 'million') THEN 1000000 WHEN g.scale IN ('bn', 'billion') THEN 1000000000 ELSE 1 END x FROM m)
 SELECT doc_id, CASE WHEN x = 0 THEN '0' ELSE rtrim(rtrim(CAST(x AS VARCHAR), '0'), '.') END AS "value", CAST(CASE WHEN g.scale <> '' OR NOT contains(g.n, '.') THEN 0 ELSE len(g.n) - instr(g.n, '.') END AS INTEGER) decimals, g.pct = '%' percent, false token, false exotic FROM v
-UNION ALL SELECT doc_id, NULL, 0, false, true, false FROM (SELECT doc_id, unnest(regexp_extract_all(t, '(?:^|{_LETTER}.-])([0-9]{{4}}-[0-9]{{2}}(?:-[0-9]{{2}})?)(?:{_LETTER}-]|$)', 1)) FROM d)
+UNION ALL SELECT doc_id, NULL, 0, false, true, false FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_LETTER}.-]([0-9]{{4}}-[0-9]{{2}}(?:-[0-9]{{2}})?)(?:{_LETTER}-]|$)', 1)) FROM d)
 UNION ALL SELECT doc_id, NULL, 0, false, false, true FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(t, '\p{{N}}'), lambda c: NOT regexp_matches(c, '[0-9]'))) FROM d)"""
 )
 def numbers_extract(t):
