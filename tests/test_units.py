@@ -13,7 +13,6 @@ from tallyspark.functions.numbers import extract_numbers, half_up
 from tallyspark.functions.text import similarity, states
 from tallyspark.functions.timeref import Clock, label, time_of
 from tallyspark.operators import evaluation, quality, series, shaping
-from tallyspark.operators.entities import Names, resolve
 from tallyspark.operators.guard import Refused, check, collected, guarded
 from tallyspark.operators.leaders import leaders
 from tallyspark.operators.metrics import Base, Metric, compile_metrics
@@ -212,15 +211,6 @@ def test_time():
     assert time_of("nothing here", c).seasons == () and label(1999) == "1999-00"
 
 
-def test_entities(spark):
-    texts = spark.createDataFrame([(1, "How did Ana Novák and Moss do against the Harbor Gulls?"), (2, "moss on stones"), (3, None)], "q int, text string")
-    aliases = spark.createDataFrame([("ana novak", 11, "full"), ("novak", 11, "last"), ("moss", 13, "last"), ("moss", 22, "last"), ("harbor gulls", 1, "full"), ("harbor", 1, "city")], "alias_norm string, id int, kind string")
-    got = {(r["q"], r["alias_norm"]): list(r["ids"]) for r in resolve(texts, aliases, "q", "text").collect()}
-    assert got == {(1, "ana novak"): [11], (1, "moss"): [13, 22], (1, "harbor gulls"): [1]}
-    names = Names({"ana novak": {11}, "ana nowak": {12}, "gus odea": {31}})
-    assert names.closest("gus odeaa") == 31 and names.closest("ana novvak") is None or names.closest("zzz") is None
-
-
 def test_evaluation():
     assert evaluation.row_sets_equal([{"a": 1.0000001}, {"a": 2}], [{"b": 2}, {"b": 1}], {"b": "a"}) and not evaluation.row_sets_equal([{"a": 1}], [{"b": 1}, {"b": 1}], {"b": "a"})
     assert not evaluation.row_sets_equal([{"a": 1}, {"a": 2}], [{"a": 2}, {"a": 1}], {"a": "a"}, ordered=True)
