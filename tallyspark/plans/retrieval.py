@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import numbers_in
+from ..operators.followup import carry_over as carry_over_turns
 from ..operators.guard import guarded
 from ..operators.retrieval import bm25, carried, nearest, reciprocal_rank
 from .base import query
@@ -73,3 +75,46 @@ def numbers_extract(t):
 def guard_select(t):
     """An ad-hoc query over an allowed relation, capped at 100 rows."""
     return guarded("select o_orderstatus, count(*) as n from games_view group by 1 order by 1", {"games_view": t("orders")})
+
+
+#: The turns of users, with what stands in for names, times, arguments and results: long capitalised words of the question and of the reply.
+_TURNS = """u AS (SELECT conv_id, turn, coalesce(text, '') q, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') a, role FROM conversations),
+t AS (SELECT conv_id, turn, q, list_sort(list_distinct(regexp_extract_all(q, '[A-Z][a-z]{9,}')))[:2] players, list_sort(list_distinct(regexp_extract_all(q, '[A-Z][a-z]{8}[ .,]')))[:1] teams, len(q) % 11 = 0 ambiguous, CASE WHEN len(q) % 4 = 0 THEN CAST(1990 + len(q) % 30 AS VARCHAR) END season, len(q) % 7 = 0 several_seasons,
+  CASE WHEN len(q) % 6 = 0 THEN 'playoffs' END season_type, len(q) % 5 = 0 phrase, CASE WHEN len(q) % 10 = 0 THEN '2001' END arg_season, CASE WHEN len(q) % 9 = 0 THEN 'regular' END arg_season_type, CASE WHEN len(q) % 8 = 0 THEN 'm' || len(q) END metric,
+  list_sort(list_distinct(regexp_extract_all(a, '[A-Z][a-z]{8,}')))[:2] result_players, list_sort(list_distinct(regexp_extract_all(a, '[A-Z][a-z]{7}[ .,]')))[:1] result_teams FROM u WHERE role = 'user')"""
+_NEAR = r"[^\p{L}\p{N}_]"
+
+
+def user_turns(t):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = t("conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), F.coalesce("text", F.lit("")).alias("question"), F.coalesce(F.lead("text").over(w), F.lit("")).alias("a"), "role").where("role = 'user'")
+    n = F.length("question")
+    some = lambda text, pattern, most: F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))), 1, most)
+    return rows.select(
+        "conv_id", "turn", "question", some("question", "[A-Z][a-z]{9,}", 2).alias("players"), some("question", "[A-Z][a-z]{8}[ .,]", 1).alias("teams"), (n % 11 == 0).alias("ambiguous"), F.when(n % 4 == 0, (1990 + n % 30).cast("string")).alias("season"),
+        (n % 7 == 0).alias("several_seasons"), F.when(n % 6 == 0, "playoffs").alias("season_type"), (n % 5 == 0).alias("phrase"), F.when(n % 10 == 0, "2001").alias("arg_season"), F.when(n % 9 == 0, "regular").alias("arg_season_type"),
+        F.when(n % 8 == 0, F.concat(F.lit("m"), n)).alias("metric"), some("a", "[A-Z][a-z]{8,}", 2).alias("result_players"), some("a", "[A-Z][a-z]{7}[ .,]", 1).alias("result_teams"),
+    )
+
+
+@query(
+    rf"""WITH {_TURNS},
+f AS (SELECT *, regexp_matches(' ' || q || ' ', '(?i){_NEAR}(he|him|his|he''s|himself){_NEAR}') he, regexp_matches(' ' || q || ' ', '(?i){_NEAR}(they|them|their|they''re){_NEAR}') they, regexp_matches(' ' || q || ' ', '(?i){_NEAR}(both|each|either|the two|those two|them){_NEAR}') several,
+  regexp_matches(q || ' ', '(?i)^\s*(and|what about|how about|and what about|compare that|over|in the|what''s their|what is their|how many has|how many did){_NEAR}') OR len(regexp_extract_all(q, '\S+')) <= 5 follows,
+  coalesce(lag(result_players) OVER w, []) lp, coalesce(lag(result_teams) OVER w, []) lt FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+d AS (SELECT *, CASE WHEN len(players) > 0 THEN players WHEN NOT ambiguous AND he AND (len(lp) = 1 OR len(lp) > 1 AND several) THEN lp END dp, CASE WHEN len(teams) > 0 THEN teams WHEN NOT ambiguous AND they AND len(lt) > 0 THEN lt END dt FROM f),
+s AS (SELECT *, coalesce(last_value(dp IGNORE NULLS) OVER b, []) sp, coalesce(last_value(dt IGNORE NULLS) OVER b, []) st, last_value(coalesce(arg_season, season) IGNORE NULLS) OVER b ss, last_value(coalesce(arg_season_type, season_type) IGNORE NULLS) OVER b sk, last_value(metric IGNORE NULLS) OVER c m
+  FROM d WINDOW b AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, CASE WHEN len(lp) > 0 THEN lp ELSE sp END pool, CASE WHEN len(lt) > 0 THEN lt ELSE st END tpool FROM s),
+x AS (SELECT *, CASE WHEN ambiguous OR len(players) > 0 THEN 'own' WHEN he AND (len(pool) = 1 OR len(pool) > 1 AND several) THEN 'pronoun' WHEN he AND len(pool) > 1 THEN 'unclear' WHEN he THEN 'own' WHEN len(teams) = 0 AND len(sp) > 0 AND follows THEN 'follow' ELSE 'own' END pw FROM p),
+y AS (SELECT *, CASE pw WHEN 'pronoun' THEN pool WHEN 'follow' THEN sp ELSE players END cp FROM x),
+z AS (SELECT *, CASE WHEN ambiguous OR len(teams) > 0 THEN 'own' WHEN they AND len(tpool) > 0 THEN 'pronoun' WHEN len(cp) = 0 AND len(st) > 0 AND follows THEN 'follow' ELSE 'own' END tw FROM y)
+SELECT conv_id, turn, array_to_string(cp, '|') players, array_to_string(CASE tw WHEN 'pronoun' THEN tpool WHEN 'follow' THEN st ELSE teams END, '|') teams, CASE WHEN season IS NULL AND NOT several_seasons THEN ss ELSE season END season,
+  CASE WHEN season_type IS NULL AND NOT phrase THEN sk ELSE season_type END season_type, m metric, array_to_string(list_filter([CASE WHEN pw IN ('pronoun', 'follow') THEN 'players' END, CASE WHEN tw <> 'own' THEN 'teams' END, CASE WHEN season IS NULL AND NOT several_seasons AND ss IS NOT NULL THEN 'season' END,
+  CASE WHEN season_type IS NULL AND NOT phrase AND sk IS NOT NULL THEN 'season_type' END], lambda c: c IS NOT NULL), '|') carried, CASE WHEN pw = 'unclear' THEN array_to_string(pool, '|') END candidates FROM z"""
+)
+def follow_ups(t):
+    """What each turn of a user means after what was said before."""
+    found = carry_over_turns(user_turns(t), "conv_id")
+    joined = {c: F.array_join(c, "|").alias(c) for c in ("players", "teams", "carried", "candidates")}
+    return found.select("conv_id", "turn", *(joined.get(c, c) for c in ("players", "teams", "season", "season_type", "metric", "carried", "candidates")))
