@@ -107,10 +107,11 @@ def mix(
     Without the text, each text is read once; with it, the counts are taken twice and no text is written between.
     """
     powers = powers or dict.fromkeys(MARGINS, 0.9)
-    base = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
-    named = base.withColumns({"n_tokens": n_tokens(text), "topic": surface_topic(text) if topic is None else topic})
+    kept = [c for c in docs.columns if c.lower() not in ADDED and (keep_text or c != text)]
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None)
+    named = docs.select(own.alias("own"), F.col(key).cast("string").alias("drawn"), "source", "lang", n_tokens(text).alias("n_tokens"), (surface_topic(text) if topic is None else topic).alias("topic"))
     if not keep_text:
-        named = written(named.drop(text), "counted")
+        named = written(named, "counted")
     values = [F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"_{m}") for m in MARGINS]
     cells = named.select(*values, "n_tokens").groupBy(*(f"_{m}" for m in MARGINS)).agg(F.sum("n_tokens").cast("double").alias("tokens"))
     cells = written(cells, "cells")
@@ -122,5 +123,5 @@ def mix(
     factor = factor.select(*wanted, F.round("weight", 9).alias("weight"), F.round(F.col("weight") / F.lit(most), 9).alias("probability"))
     # one row a cell, so the table is small next to the documents; Spark broadcasts it by its size or else joins by cell
     out = named.select("*", *values).join(F.broadcast(factor) if is_small(factor, SMALL_BYTES) else factor, list(wanted), "left").fillna(0.0, ["weight", "probability"])
-    draw = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)).bitwiseAND(F.lit(_DRAWS - 1)) / F.lit(float(_DRAWS))
-    return out.withColumn("sampled", draw < F.col("probability")).drop(*wanted)
+    draw = F.xxhash64(F.coalesce(F.col("drawn"), F.lit("")), F.lit(seed)).bitwiseAND(F.lit(_DRAWS - 1)) / F.lit(float(_DRAWS))
+    return out.select(*(F.col("own")[c].alias(c) for c in kept), "n_tokens", "topic", "weight", "probability", (draw < F.col("probability")).alias("sampled"))

@@ -43,14 +43,15 @@ def drop_site_lines(pages: DataFrame, lines: Column, host: Column, ratio: float
     pages without lines have an empty text; repeated rows are pages of their own; columns of pages whose names clash with
     an added one are replaced. Lines are compared by a hash of 96 bits within their host.
     """
-    rows = pages.select("*", host.alias("_host"), lines.alias("_lines"))
+    columns = without(pages, "host", "n_lines", "n_dropped", "text").columns
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_own"), host.alias("_host"), lines.alias("_lines"))
     seen = rows.where(F.col("_host").isNotNull()).select("_host", F.explode(F.array_distinct(F.transform("_lines", _digest))).alias("_line"))
     on = seen.groupBy("_host", "_line").agg(F.count("*").alias("_on")).where(F.col("_on") > 1)
     total = rows.where(F.col("_host").isNotNull()).groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= min_pages)
     common = on.join(total, "_host").where(F.col("_on") > F.lit(ratio) * F.col("_pages")).groupBy("_host").agg(F.collect_list("_line").alias("_common"))
     kept = F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_common", _digest(x))))
     out = left_join_small(rows, common.withColumnRenamed("_host", "_of"), "_host", "_of").withColumn("_kept", kept)
-    return without(out, "host", "n_lines", "n_dropped", "text").select(
-        *(c for c in without(pages, "host", "n_lines", "n_dropped", "text").columns),
+    return out.select(
+        *(F.col("_own")[c].alias(c) for c in columns),
         F.col("_host").alias("host"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("text"),
     )

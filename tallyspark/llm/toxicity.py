@@ -237,7 +237,8 @@ def _among(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fitted(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, n_features: int, ridge: float = 0.2, rounds: int = 3000) -> tuple[np.ndarray, float]:
     """Weights and intercept of the logistic regression of y on 0/1 features (one entry a row and column), with a penalty of
-    ridge / 2 on the squared weights, by accelerated gradient steps until the gradient vanishes."""
+    ridge / 2 on the squared weights, by accelerated gradient steps until the gradient vanishes; if it does not after so many
+    rounds, that is an error."""
     times = lambda w: np.bincount(rows, weights=w[columns], minlength=len(y))
     back = lambda r: np.bincount(columns, weights=r[rows], minlength=n_features)
     # the largest eigenvalue of the squared features bounds the steps
@@ -256,8 +257,8 @@ def fitted(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, n_features: int
         last_w, last_b = w, b
         w, b = at_w - step * gw, at_b - step * gb
         if max(np.abs(gw).max(initial=0.0), abs(gb)) < 1e-4:
-            break
-    return w, b
+            return w, b
+    raise RuntimeError(f"the regression has not converged after {rounds} rounds")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
