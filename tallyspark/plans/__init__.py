@@ -4,7 +4,7 @@ The tables stand in for the statistics domain: a customer is a player, a nation
 season, an order's status the kind of season, orders and events are game logs, line items shots.
 """
 
-from . import answers, metrics, names, quality, relations, retrieval  # noqa: F401  (they register their queries)
+from . import answers, checks, metrics, names, quality, relations, retrieval  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
