@@ -93,6 +93,13 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: Statistics that availability may name.
+MOST_STATS = 10_000
+
+
 def first_seasons(availability: DataFrame) -> dict[str, int]:
-    """The small table of first tracked seasons as a dictionary; nulls are left out."""
-    return {r[0]: r[1] for r in availability.where("first_season_start is not null").select("stat", "first_season_start").limit(1000).collect()}
+    """The small table of first tracked seasons as a dictionary; nulls are left out. More than MOST_STATS rows are an error, not a part."""
+    found = availability.where("first_season_start is not null").select("stat", "first_season_start").limit(MOST_STATS + 1).collect()
+    if len(found) > MOST_STATS:
+        raise ValueError(f"availability names more than {MOST_STATS} statistics")
+    return {r[0]: r[1] for r in found}

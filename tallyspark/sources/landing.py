@@ -21,10 +21,11 @@ class ContractError(ValueError):
     """A response that does not have the agreed form."""
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, files: Column | None = None) -> DataFrame:
     """The documents under a folder of JSON files, one row a file: key, endpoint, season, params (JSON text), fetched_at, sets,
-    file. A file that is not JSON gives nulls."""
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("value", F.col("_metadata.file_path").alias("file"))
+    file. A file that is not JSON gives nulls. files: a condition on _metadata (path, name, size, time of a file), by which other files are not even opened."""
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    text = (text if files is None else text.where(files)).select("value", F.col("_metadata.file_path").alias("file"))
     sets = F.from_json(F.get_json_object("value", "$.response.resultSets"), _SETS)
     single = F.from_json(F.concat(F.lit("["), F.get_json_object("value", "$.response.resultSet"), F.lit("]")), _SETS)
     get = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
@@ -61,10 +62,11 @@ def headers_of(raw: DataFrame, endpoint: str, result_set: str, most: int = 1000)
     return [r["header"] for r in found]
 
 
-def land(raw: DataFrame, wanted: dict[str, list[str]], out: str) -> dict[str, DataFrame]:
+def land(raw: DataFrame, wanted: dict[str, list[str]], out: str, keep: Column | None = None) -> dict[str, DataFrame]:
     """Writes each endpoint's listed result sets as Parquet, partitioned by key, and reads them back. A result set without any
-    response gets an empty table."""
+    response gets an empty table. keep: a condition on a document's key, endpoint, season, params, fetched_at and file; the rows of others are neither flattened nor landed."""
     spark = raw.sparkSession
+    raw = raw if keep is None else raw.where(keep)
     tables = {}
     for endpoint, sets in wanted.items():
         for name in sets:
