@@ -16,6 +16,8 @@ _CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
 #: Rows that go to Python at once, which bounds the memory beside the heap.
 _BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 BATCH_ROWS = 2000
+#: Letters of a plan's text, which the driver keeps of every query (of long plans it would be megabytes).
+_PLAN = ("spark.sql.maxPlanStringLength", "2000")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +56,8 @@ def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tallyspark/{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, v) for k, v in (_CLEANUP, _BATCH)}
+    before[_PLAN[0]] = spark.conf.get(_PLAN[0])
+    spark.conf.set(*_PLAN)
     spark.conf.set(_CLEANUP[0], "true")
     spark.conf.set(_BATCH[0], str(min(BATCH_ROWS, int(before[_BATCH[0]]))))
     try:

@@ -140,6 +140,7 @@ def scan(column: pa.Array, rule: Rule, chunk_bytes: int = CHUNK_BYTES) -> Iterat
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + chunk_bytes, "right")) - 1)
         yield _chunk(i, offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], rule)
         i = j
+    pa.default_memory_pool().release_unused()  # a worker that is used again keeps no batch's memory
 
 
 def _chunk(first: int, offsets: np.ndarray, data: np.ndarray, rule: Rule) -> Chunk:
