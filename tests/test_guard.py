@@ -87,3 +87,19 @@ def test_one_repair(v):
     assert repaired("select a from secret", {"v": v}, repair).count() == 3 and "secret" in asked[0]
     with pytest.raises(Refused):
         repaired("select nothing from v", {"v": v}, lambda sql, message: "select a from secret")
+
+
+def test_bound_parameters_and_late_answers(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators.guard import answered
+
+    views = {"v": spark.range(20).withColumn("s", F.concat(F.lit("x' or '1'='1"), "id"))}
+    assert [r.id for r in answered("select id from v where id = :a or s = :b", views, args={"a": 3, "b": "x' or '1'='15"}, seconds=60)] == [3, 5]
+    assert [r.id for r in answered("select id from v where id = ?", views, args=[4], seconds=60)] == [4]
+    with pytest.raises(Exception, match="(?i)parameter"):
+        answered("select id from v where id = :a", views, args={"b": 1}, seconds=60)
+    with pytest.raises(Refused):
+        guarded("select id from v where id = :a", views, args={"a": F.expr("1")})
+    with pytest.raises(Exception, match="(?i)cancel|interrupt|took more"):
+        answered("select sum(id % 7) from w", {"w": spark.range(3 * 10**10)}, seconds=1.0)
