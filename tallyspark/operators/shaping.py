@@ -89,6 +89,15 @@ def with_precedence(sources: list[DataFrame], keys: list[str], tie: list[Column]
     return first_by(union, keys, [F.col("_p"), *tie]).drop("_p")
 
 
+def joined_text(value: Column, order: list[Column], separator: str = ", ", where: Column | None = None) -> Column:
+    """An aggregate: the texts of a group that are not null (and pass where), in their order, joined; null where there is none. A group's texts become one cell, so
+    this is for groups that a reader can read."""
+    keep = value.isNotNull() if where is None else value.isNotNull() & where
+    row = F.when(keep, F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)), value.cast("string").alias("v")))
+    listed = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["v"])
+    return F.when(F.size(listed) > 0, F.array_join(listed, separator))
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

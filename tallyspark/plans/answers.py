@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import numbers_in
+from ..operators.results import Rounding, shown
+from ..operators.shaping import joined_text
 from ..operators.verifier import check, numbers_match, problems
 from .base import query
 
@@ -124,3 +126,21 @@ def verify_drafts(t):
 def drafts_verified(t):
     """Whether each draft may be shown."""
     return _checked(t).select("key", "ok")
+
+
+@query(f"""WITH {_PS} SELECT "key", CAST(gp AS VARCHAR) gp, format('{{:,}}', CAST(CAST(CAST(cents / 100.0 AS VARCHAR) AS DECIMAL(30, 0)) AS BIGINT)) points, CAST(CAST(CAST((cents / 100.0) / gp AS VARCHAR) AS DECIMAL(30, 1)) AS VARCHAR) points_per_game, CAST(CAST(CAST(100 * (urgent / gp) AS VARCHAR) AS DECIMAL(30, 1)) AS VARCHAR) || '%' urgent_pct,
+  CASE WHEN cents >= 10000 THEN format('{{:,}}', cents) ELSE CAST(cents AS VARCHAR) END cents, CASE WHEN urgent > 0 THEN 'yes' ELSE 'no' END any_urgent, CASE WHEN player % 2 = 0 THEN 'n/a' ELSE CAST(season AS VARCHAR) END season FROM s""")
+def cells_shown(t):
+    """A season's results as they are shown."""
+    rows = _seasons(t).select(
+        "key", "gp", F.lit(1).alias("team_gp"), (F.col("cents") / 100).alias("points"), ((F.col("cents") / 100) / F.col("gp")).alias("points_per_game"), (F.col("urgent") / F.col("gp")).alias("urgent_pct"), "cents", (F.col("urgent") > 0).alias("any_urgent"),
+        F.when(F.col("player") % 2 != 0, F.col("season")).alias("season"),
+    )
+    return shown(rows, {"points": Rounding(0), "points_per_game": Rounding(1), "urgent_pct": Rounding(1, percent=True)})
+
+
+@query("""SELECT o_custkey player, string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY o_orderdate DESC, o_orderkey) FILTER (o_orderstatus <> 'P') games FROM orders GROUP BY 1""")
+def games_listed(t):
+    """Each player's games from the newest, but those of a kind."""
+    order = [-F.unix_date(F.to_date("o_orderdate")), F.col("o_orderkey")]
+    return t("orders").groupBy(F.col("o_custkey").alias("player")).agg(joined_text(F.col("o_orderkey"), order, where=F.col("o_orderstatus") != "P").alias("games"))
