@@ -57,6 +57,10 @@ def _stable(*x: str) -> int:
 DEPTH = 512
 
 
+#: Elements that are text themselves: inside of an article or main no name condemns them.
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p header blockquote pre figure figcaption li dt dd td th em strong b i q cite code".split())
+
+
 class Element:
     """path: a hash of what identifies it in the site's tree, 0 for the page; noise: it or something above it is not main text;
     main: it is inside an article or main. stated: its tag or attributes hide it; named: a word of its names does. parts: texts
@@ -112,7 +116,7 @@ def _has_text(elements: list[Element]) -> bool:
 
 def _mark(elements: list[Element], stated: bool, named: bool) -> None:
     """Sets the noise of all elements (parents first). Names never condemn html, body, main, an article that is in no other, what
-    holds a main, what holds half of such articles' text, or, outside of those, most of the page's text."""
+    holds a main, what holds half of such articles' text, or, outside of those, most of the page's text; nor, inside of those, headings, paragraphs and the like."""
     size: dict[int, int] = {}
     articles: dict[int, int] = {}
     mains: set[int] = set()
@@ -142,6 +146,7 @@ def _mark(elements: list[Element], stated: bool, named: bool) -> None:
         if named and e.named and not own:
             own = not (
                 e.tag in ("html", "body", "main")
+                or (e.main and e.tag in TEXT_TAGS)
                 or (e.tag == "article" and id(e) not in nested)
                 or id(e) in mains
                 or 2 * articles[id(e)] >= max(written_in, 1)

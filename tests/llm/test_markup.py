@@ -67,3 +67,11 @@ def test_low_branches_against_brute_force(spark):
                 total[at][1] += m * 0.9**d
         assert got.get(host, set()) == {p for p, (x, w) in total.items() if x / w < 0.1}
         assert got[host]
+
+
+def test_names_of_headings_and_paragraphs_condemn_nothing_inside_an_article():
+    from tallyspark.llm.site_tree import main_text
+
+    for inner, text in (('<h2 class="section-header">Heading</h2>', "Heading"), ('<header class="entry-header"><h1>Title</h1></header>', "Title"), ('<p class="market-share">Share</p>', "Share")):
+        page = f'<html><body><p class="sidebar">Out</p><article><p>Body of the article.</p>{inner}<div class="share-buttons">Tell all</div><p>More of it.</p></article></body></html>'
+        assert main_text(page) == f"Body of the article.\n\n{text}\n\nMore of it."
