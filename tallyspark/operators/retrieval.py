@@ -21,9 +21,12 @@ def bm25(docs: DataFrame, key: str, text: str, question: str, k1: float = 1.5, b
     """key and score of the documents that share a term with the question. Documents are read once for the terms asked for;
     only their counts are shuffled."""
     asked = sorted(set(re.findall("[a-z0-9]+", question.lower())))
-    rows = docs.select(key, tokens(text).alias("_w"))
+    # only words that are asked for become cells; the others are counted
+    whole_word = rf"(?<![a-z0-9])(?:{'|'.join(asked)})(?![a-z0-9])" if asked else "(?!)"
+    plain = F.lower(text)
+    rows = docs.select(key, F.regexp_extract_all(plain, F.lit(whole_word), F.lit(0)).alias("_w"), F.regexp_count(plain, F.lit("[a-z0-9]+")).alias("_n_words"))
     counts = [_occurrences(term).alias("_tf") for term in asked]
-    rows = rows.select(key, F.size("_w").alias("_len"), F.array(*(F.struct(F.lit(t).alias("term"), c) for t, c in zip(asked, counts, strict=True))).alias("_t"))
+    rows = rows.select(key, F.col("_n_words").alias("_len"), F.array(*(F.struct(F.lit(t).alias("term"), c) for t, c in zip(asked, counts, strict=True))).alias("_t"))
     frequencies = [F.count_if(F.col("_t")[i]["_tf"] > 0).cast("double").alias(f"f{i}") for i in range(len(asked))]
     whole = rows.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_mean"), *frequencies)
     rows = rows.join(F.broadcast(whole))  # one row of counts
