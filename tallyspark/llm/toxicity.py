@@ -235,29 +235,39 @@ def _among(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, values[at] == x
 
 
-def fitted(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, n_features: int, ridge: float = 0.2, rounds: int = 3000) -> tuple[np.ndarray, float]:
+def fitted(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, n_features: int, ridge: float = 0.2, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Weights and intercept of the logistic regression of y on 0/1 features (one entry a row and column), with a penalty of
-    ridge / 2 on the squared weights, by accelerated gradient steps until the gradient vanishes; if it does not after so many
-    rounds, that is an error."""
-    times = lambda w: np.bincount(rows, weights=w[columns], minlength=len(y))
-    back = lambda r: np.bincount(columns, weights=r[rows], minlength=n_features)
-    # the largest eigenvalue of the squared features bounds the steps
-    v, top = np.ones(n_features), 1.0
-    for _ in range(30):
-        v = back(times(v))
-        top = float(np.linalg.norm(v)) or 1.0
-        v = v / top
-    step = 1 / (0.25 * (top * 1.05 + len(y)) + ridge)
-    w, b, last_w, last_b = np.zeros(n_features), 0.0, np.zeros(n_features), 0.0
-    for k in range(rounds):
-        speed = k / (k + 3)
-        at_w, at_b = w + speed * (w - last_w), b + speed * (b - last_b)
-        off = 1 / (1 + np.exp(-np.clip(times(at_w) + at_b, -60, 60))) - y
-        gw, gb = back(off) + ridge * at_w, float(off.sum())
-        last_w, last_b = w, b
-        w, b = at_w - step * gw, at_b - step * gb
-        if max(np.abs(gw).max(initial=0.0), abs(gb)) < 1e-4:
-            return w, b
+    ridge / 2 on the squared weights, by Newton's steps until the gradient vanishes; if it does not after so many
+    rounds, that is an error. A step is solved by conjugate gradients, so nothing larger than the entries is held."""
+    penalty = np.append(np.full(n_features, ridge), 0.0)  # the intercept comes last
+    times = lambda w: np.bincount(rows, weights=w[columns], minlength=len(y)) + w[-1]
+    back = lambda r: np.append(np.bincount(columns, weights=r[rows], minlength=n_features), r.sum())
+    loss = lambda w, at: float(np.logaddexp(0, at).sum() - y @ at + penalty @ (w * w) / 2)
+    w = np.zeros(n_features + 1)
+    for _ in range(rounds):
+        at = times(w)
+        p = 1 / (1 + np.exp(-np.clip(at, -60, 60)))
+        g = back(p - y) + penalty * w
+        if np.abs(g).max() < 1e-4:
+            return w[:-1], float(w[-1])
+        curve = p * (1 - p) + 1e-12
+        scale = back(curve) + penalty  # of 0/1 features the diagonal
+        step, left = np.zeros_like(w), -g
+        ahead = left / scale
+        size, goal = left @ ahead, min(0.1, float(np.linalg.norm(g)) ** 0.5) * float(np.linalg.norm(g))
+        for _ in range(500):
+            if np.linalg.norm(left) <= goal * 0.1:
+                break
+            bent = back(curve * times(ahead)) + penalty * ahead
+            far = size / (ahead @ bent)
+            step, left = step + far * ahead, left - far * bent
+            other = left / scale
+            size, last = left @ other, size
+            ahead = other + size / last * ahead
+        now, slope, far = loss(w, at), g @ step, 1.0
+        while far > 1e-9 and loss(w + far * step, times(w + far * step)) > now + 1e-4 * far * slope + 1e-12 * abs(now):
+            far /= 2
+        w = w + far * step
     raise RuntimeError(f"the regression has not converged after {rounds} rounds")
 
 
