@@ -1,7 +1,7 @@
 """Names in texts: to entities, to a question where several are meant, or to the one name that a misspelling resembles.
 
 Every run of up to four words is looked up at once, by equi-joins on distinct runs: exact aliases, last names that several share, and,
-for two capitalised words, a similarity join (length and q-gram prefix filters, then the exact ratio). Which hits stand is an
+for two capitalised words, a similarity join (deletion neighbourhoods, then the exact ratio). Which hits stand is an
 ordered fold in each text: longer runs first, then from left to right, none over another.
 """
 
@@ -9,8 +9,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
+from math import comb
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +23,8 @@ from pyspark.sql import types as T
 LONGEST = 4
 #: Least ratio (100 x twice the longest common subsequence over both lengths) of a misspelling.
 LEAST_RATIO = 88
+#: Ways to leave out letters of a text that are listed, beyond which its parts are; letters of a text beyond which pairs of letters are compared.
+WAYS, LONG = 300, 40
 # Words of questions that are no names, and how words of a text are told apart.
 QUESTION_WORDS = (
     "how", "what", "who", "which", "when", "where", "why", "is", "are", "was", "were", "does", "did", "do", "has", "have", "compare", "show", "list", "give", "tell", "explain", "predict", "should",
@@ -77,16 +84,85 @@ def _prefixes(names: DataFrame, name: str, common: DataFrame) -> DataFrame:
     return first.select(name, F.explode(F.slice("gs", F.lit(1), most)).alias("g")).select(name, F.col("g.g").alias("g"))
 
 
+def _left_out(text: str, n: int) -> Iterator[str]:
+    return map("".join, combinations(text, len(text) - n))
+
+
+@cache
+def _meeting(long: int, first: bool) -> tuple[tuple[int, ...], tuple[tuple[int, int, bool, str], ...]]:
+    """How many letters a text of so many is listed without, and which of its parts are listed: begin, end, whether without one letter, and the mark of the part."""
+    whole, parts = set(), set()
+    for other in range(2, LONG + 1):
+        la, lb = (long, other) if first else (other, long)
+        d = (100 - LEAST_RATIO) * (la + lb) // 100
+        d -= (d - la - lb) % 2
+        if d < abs(la - lb):
+            continue
+        da, db = (d + la - lb) // 2, (d - la + lb) // 2
+        if max(comb(la, da), comb(lb, db)) <= WAYS:
+            whole.add(da if first else db)
+            continue
+        k = d // 2 + 1
+        for i in range(k):
+            begin, end = la * i // k, la * (i + 1) // k
+            n, mark = end - begin, f"{la}/{i}/"
+            if first:
+                parts.update((begin, end, less, mark) for less in {False, da > 0})
+                continue
+            for size in range(n - (da > 0), n + (db > 0) + 1):
+                starts = [0] if i == 0 else [lb - size] if i == k - 1 else range(max(0, begin - da), min(begin + db, lb - size) + 1)
+                parts.update((at, at + size, size > n, mark) for at in starts)
+    return tuple(whole), tuple(parts)
+
+
+def meeting_keys(text: str, first: bool) -> set[str]:
+    """Keys of which a first text and a second one, of LONG letters at most, share one if their ratio is LEAST_RATIO or more.
+
+    Texts of la and lb letters are so similar if d letters at most, da of the first and db of the second, are in one of them only. What
+    is left of both is the same then: a key, if there are few ways to leave out so many. Else the first text is cut into d div 2 + 1
+    parts, one of which has one letter at most in which it and its part of the second text differ, wherever that begins.
+    """
+    whole, parts = _meeting(len(text), first)
+    keys = {x for n in whole for x in _left_out(text, n)}
+    for begin, end, less, mark in parts:
+        part = text[begin:end]
+        if less:
+            keys.update([mark + part[:k] + part[k + 1 :] for k in range(len(part))])
+        else:
+            keys.add(mark + part)
+    return keys
+
+
+def _keyed(texts: DataFrame, text: str, first: bool) -> DataFrame:
+    """text and a hash of each of its meeting keys (key)."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                own = batch.column(0).slice(begin, 1000)
+                found = [meeting_keys(x, first) for x in own.to_pylist()]
+                at = pa.array([k for k, f in enumerate(found) for _ in range(len(f))], pa.int32())
+                yield pa.RecordBatch.from_arrays([own.take(at), pa.array([x for f in found for x in f], pa.string())], names=[text, "key"])
+
+    # A text has some hundred keys, so tasks are not to be as few as the texts' bytes would have them.
+    dealt = texts.select(text).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(text))
+    return dealt.mapInArrow(keys, f"`{text}` string, key string").select(text, F.xxhash64("key").alias("key"))
+
+
 def similar_names(spans: DataFrame, names: DataFrame, span: str = "span", name: str = "name", least: int = LEAST_RATIO) -> DataFrame:
     """span, name and ratio of all pairs of distinct texts whose ratio is at least `least` (88 or more). Both need two letters; nulls are left out."""
     if least < LEAST_RATIO:
         raise ValueError(f"the filters hold from {LEAST_RATIO}")
     a, b = (df.select(c).where(F.length(c) > 1).distinct() for df, c in ((spans, span), (names, name)))
-    common = _grams(b, name).groupBy("g").agg(F.count("*").alias("f"))
-    met = _prefixes(a, span, common).join(_prefixes(b, name, common), "g").select(span, name).distinct()
+    short = _keyed(a.where(F.length(span) <= LONG), span, True).join(_keyed(b.where(F.length(name) <= LONG), name, False), "key").select(span, name)
+    # Texts of more letters would have too many keys; what resembles one of them has 32 letters or more.
+    c, d = (df.where(F.length(x) > LONG * LEAST_RATIO // (200 - LEAST_RATIO)) for df, x in ((a, span), (b, name)))
+    common = _grams(d, name).groupBy("g").agg(F.count("*").alias("f"))
+    long = _prefixes(c, span, common).join(_prefixes(d, name, common), "g").select(span, name).where(F.greatest(F.length(span), F.length(name)) > LONG)
     both = F.length(span) + F.length(name)
     room = (100 - least) * both  # in hundredths of letters that may be only in one of them
-    near = met.where((100 * F.abs(F.length(span) - F.length(name)) <= room) & (100 * F.levenshtein(span, name) <= room))
+    met = short.unionByName(long).where(100 * F.abs(F.length(span) - F.length(name)) <= room)
+    near = met.where(100 * F.levenshtein(span, name) <= room).distinct()
     ratio = 200 * _common(span, name) / both
     return near.select(span, name, ratio.alias("ratio")).where(F.col("ratio") >= least)
 
