@@ -8,9 +8,12 @@ shuffled, and the same data give the same interval.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Poisson's law with mean 1, summed up, in parts of 2**32.
 POISSON = tuple(round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(10))
@@ -47,16 +50,27 @@ def difference_interval(a: DataFrame, b: DataFrame, family: str, passed: str, n:
     return _interval(left.join(right, "replicate").select((F.col("share") - F.col("other")).alias("d")), "d", level, n)
 
 
+def _held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """f, s and held_out of rows f, s, w (weight) and t (target), which come stratum by stratum in the order they are judged in."""
+    stratum, held, begun = None, 0.0, False
+    for batch in batches:
+        out = []
+        for s, w, t in zip(*(batch.column(c).to_pylist() for c in ("s", "w", "t")), strict=True):
+            if not begun or (s != stratum and not (s != s and stratum != stratum)):  # what is not a number is one stratum
+                stratum, held, begun = s, 0.0, True
+            closer = w is not None and t is not None and abs(held + w - t) < abs(held - t)
+            held += w if closer else 0.0
+            out.append(closer)
+        yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("s"), pa.array(out, pa.bool_())], names=["f", "s", "held_out"])
+
+
 def held_out_strata(families: DataFrame, family: str, stratum: str, weight: str, salt: str, part: float = 0.30) -> DataFrame:
     """family, stratum and held_out: in each stratum, families in the order of their salted hash are held out as long as each brings
-    the weight held out nearer to the part. families has one row a family; a stratum's families are folded in one array."""
+    the weight held out nearer to the part. families has one row a family; a stratum's families pass through one task, in a stream
+    of which only the weight held out is kept."""
     key = F.sha2(F.concat(F.lit(f"{salt}:"), F.col(family).cast("string")), 256)
-    each = families.groupBy(stratum).agg(F.array_sort(F.collect_list(F.struct(key.alias("h"), F.col(family).alias("f"), F.col(weight).cast("double").alias("w")))).alias("fs"), (F.lit(part) * F.sum(weight)).alias("target"))
-    start = F.struct(F.lit(0.0).alias("held"), F.slice(F.transform("fs", lambda x: x["f"]), 1, 0).alias("taken"))
-
-    def take(s: Column, x: Column) -> Column:
-        closer = F.abs(s["held"] + x["w"] - F.col("target")) < F.abs(s["held"] - F.col("target"))
-        return F.struct(F.when(closer, s["held"] + x["w"]).otherwise(s["held"]).alias("held"), F.when(closer, F.array_append(s["taken"], x["f"])).otherwise(s["taken"]).alias("taken"))
-
-    folded = each.withColumn("taken", F.aggregate("fs", start, take)["taken"])
-    return folded.select(stratum, "taken", F.explode(F.transform("fs", lambda x: x["f"])).alias(family)).select(family, stratum, F.array_contains("taken", F.col(family)).alias("held_out"))
+    target = (F.lit(part) * F.sum(weight).over(Window.partitionBy(stratum))).cast("double")
+    rows = families.select(F.col(family).alias("f"), F.col(stratum).alias("s"), F.col(weight).cast("double").alias("w"), key.alias("h"), target.alias("t"))
+    ordered = rows.repartition("s").sortWithinPartitions("s", "h", "f", "w").select("f", "s", "w", "t")
+    kinds = T.StructType([T.StructField("f", rows.schema["f"].dataType), T.StructField("s", rows.schema["s"].dataType), T.StructField("held_out", T.BooleanType())])
+    return ordered.mapInArrow(_held_out, kinds).select(F.col("f").alias(family), F.col("s").alias(stratum), "held_out")
