@@ -19,17 +19,30 @@ from pyspark.sql import types as T
 POISSON = tuple(round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(10))
 
 
+def _hash(family: Column, replicate: Column, seed: int) -> Column:
+    """32 bits in hexadecimal digits, which are in the order of the numbers."""
+    return F.substring(F.md5(F.concat_ws(":", family.cast("string"), replicate.cast("string"), F.lit(seed).cast("string"))), 1, 8)
+
+
+def _drawn(h: Column) -> Column:
+    return sum((F.when(h >= format(t, "08x"), 1).otherwise(0) for t in POISSON), F.lit(0))
+
+
 def draws(family: Column, replicate: Column, seed: int) -> Column:
     """How often the replicate draws the family."""
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", family.cast("string"), replicate.cast("string"), F.lit(seed).cast("string"))), 1, 8), 16, 10).cast("bigint")
-    return sum((F.when(h >= t, 1).otherwise(0) for t in POISSON), F.lit(0))
+    return _drawn(_hash(family, replicate, seed))
 
 
 def replicates(outcomes: DataFrame, family: str, passed: str, n: int, seed: int) -> DataFrame:
-    """replicate and share, the share passed in each replicate; one that draws no family has none."""
+    """replicate and share, the share passed in each replicate; one that draws no family has none.
+
+    Each family is n rows, so families are dealt into as many tasks as a shuffle has, not as few as their bytes would have. The hash is a
+    column of its own, evaluated once; who is not drawn counts 0 instead of being filtered, as a filter would evaluate it again."""
     groups = outcomes.groupBy(F.col(family).alias("_f")).agg(F.count(F.when(F.col(passed), 1)).alias("_p"), F.count("*").alias("_n"))
-    each = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).withColumn("_w", draws(F.col("_f"), F.col("replicate"), seed)).where("_w > 0")
-    return each.groupBy("replicate").agg((F.sum(F.col("_w") * F.col("_p")) / F.sum(F.col("_w") * F.col("_n"))).alias("share"))
+    dealt = groups.repartition(int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("_f"))
+    each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).withColumn("_h", _hash(F.col("_f"), F.col("replicate"), seed)).withColumn("_w", _drawn(F.col("_h")))
+    sums = each.groupBy("replicate").agg(F.sum(F.col("_w") * F.col("_p")).alias("_p"), F.sum(F.col("_w") * F.col("_n")).alias("_n"))
+    return sums.where("_n > 0").select("replicate", (F.col("_p") / F.col("_n")).alias("share"))
 
 
 def _interval(values: DataFrame, value: str, level: float, n: int) -> DataFrame:

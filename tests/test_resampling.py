@@ -1,8 +1,8 @@
-"""Strata as a stream against a plain fold."""
+"""Strata as a stream against a plain fold, and hashes that are evaluated once."""
 
 import hashlib
 
-from tallyspark.operators.resampling import held_out_strata
+from tallyspark.operators.resampling import held_out_strata, replicates
 
 
 def test_a_stratum_is_no_array_and_is_judged_in_order(spark):
@@ -17,3 +17,10 @@ def test_a_stratum_is_no_array_and_is_judged_in_order(spark):
             want[f, s] = w is not None and abs(held + w - target) < abs(held - target)
             held += w if want[f, s] else 0.0
     assert {(r.f, r.s): r.held_out for r in got.collect()} == want
+
+
+def test_a_draw_is_hashed_once(spark):
+    df = spark.createDataFrame([(k % 4, k % 3 == 0) for k in range(40)], "f int, ok boolean")
+    shares = replicates(df, "f", "ok", 200, 7)
+    assert shares._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert replicates(df.where("f = 0"), "f", "ok", 200, 7).count() < 200 and all(0 <= r.share <= 1 for r in shares.collect())
