@@ -21,24 +21,31 @@ _QUANTITY = r"(?i)(?<![\d.,])(?<![\d.,]\s)\b(dozens?|hundreds?|thousands?|millio
 _WORD = r"[A-Za-z%][A-Za-z%']*"
 
 
-def statable(values: DataFrame, key: str, *more: str) -> DataFrame:
-    """key, number (as numbers.canonical), most (decimals at most) and the columns more, for every way in which a value may be stated.
-    values: key, value (double), display ('number' or 'percent', whose value is a fraction), decimals. Null and not finite values cannot be stated."""
+def _ways(values: DataFrame, key: str, *more: str) -> DataFrame:
+    """statable() with repeated rows."""
     value, decimals = F.col("value"), F.col("decimals")
     as_number = F.struct(value.alias("v"), decimals.alias("d"))
     as_percent = F.array(F.struct((value * 100).alias("v"), decimals.alias("d")), F.struct(value.alias("v"), (decimals + 2).alias("d")))
     real = values.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(1e31)))
     way = F.explode(F.when(F.col("display") == "percent", as_percent).otherwise(F.array(as_number))).alias("w")
     ways = real.select(key, way, *more)
-    return ways.select(key, rounded_key(F.col("w.v"), F.col("w.d")).alias("number"), F.col("w.d").alias("most"), *more).where("number is not null").distinct()
+    return ways.select(key, rounded_key(F.col("w.v"), F.col("w.d")).alias("number"), F.col("w.d").alias("most"), *more).where("number is not null")
+
+
+def statable(values: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, number (as numbers.canonical), most (decimals at most) and the columns more, for every way in which a value may be stated.
+    values: key, value (double), display ('number' or 'percent', whose value is a fraction), decimals. Null and not finite values cannot be stated."""
+    return _ways(values, key, *more).distinct()
 
 
 def numbers_match(stated: DataFrame, values: DataFrame, key: str, keep: list[str]) -> DataFrame:
     """keep, and matched: whether the row's number (value and decimals, as extract_numbers() has them) states one of its key's values. Rows of
     stated are told apart by keep."""
-    ways = statable(values, key).select(F.col(key).alias("_key"), "number", "most")
-    fits = (F.col(key) == F.col("_key")) & (F.col("value") == F.col("number")) & (F.col("decimals") <= F.col("most"))
-    return stated.join(ways, fits, "left").groupBy(*keep).agg(F.count("number").alias("_n")).select(*keep, (F.col("_n") > 0).alias("matched"))
+    ways = _ways(values, key).groupBy(F.col(key).alias("_key"), F.col("number").alias("_number")).agg(F.max("most").alias("_most"))
+    met = stated.join(ways, (F.col(key) == F.col("_key")) & (F.col("value") == F.col("_number")), "left")
+    # keep tells key and value, so these change no group; with them the rows lie as the join has dealt them.
+    own = list(dict.fromkeys([key, "value", *keep]))
+    return met.groupBy(*own).agg(F.coalesce(F.max(F.col("decimals") <= F.col("_most")), F.lit(False)).alias("_matched")).select(*keep, F.col("_matched").alias("matched"))
 
 
 def phrase(text: Column) -> Column:

@@ -56,7 +56,7 @@ def stated_numbers(t):
     texts = F.array(
         _point("hundredths", 2), _point("tenths", 1), F.col("whole").cast("string"), F.format_number("whole", 0), F.concat(_point("mills", 1), F.lit("%")), _point("mills", 3), F.concat(F.expr("mills div 10").cast("string"), F.lit("%")), (F.col("gp") + F.col("player") % 3).cast("string")
     )
-    stated = rows.select("key", F.explode(texts).alias("text")).distinct()
+    stated = rows.select("key", F.explode(F.array_distinct(texts)).alias("text"))
     read = stated.select("key", "text", numbers_in("text").getItem(0).alias("n")).select("key", "text", "n.value", "n.decimals")
     return numbers_match(read, _values(rows), "key", ["key", "text"])
 
