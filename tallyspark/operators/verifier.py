@@ -1,12 +1,15 @@
 """No number without evidence: every number of a draft must state a result, an argument or a cited text, under the right name.
 
 Statements meet evidence by an equi-join: a value is emitted under every number that it may be stated as (its rounding; a percentage
-also as a fraction with two more decimals), as exact text, so nothing is compared in pairs. Names beside a number are looked up in
-the row itself against one map of phrases, whose size is that of the registry. A draft is read once, by one Arrow UDF.
+also as a fraction with two more decimals), as exact text, so nothing is compared in pairs. The evidence of a key for one number is one row,
+so a statement meets one row at most. Names beside a number are looked up in the row itself, and only where a wrong one would matter, against
+one map of phrases, whose size is that of the registry. A draft is read once, by one Arrow UDF; only the words beside a number go on with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,20 +64,31 @@ def lexicon(names: DataFrame) -> DataFrame:
     return each.agg(F.map_from_entries(F.collect_list(F.struct("p", "c"))).alias("_names"), F.coalesce(F.max(F.size(F.split("p", " "))), F.lit(0)).alias("_longest"))
 
 
-def first_name(window: Column, most: int) -> Column:
-    """(raw, columns) of the first phrase of the map among the first words of the window, the longest at each word; null if there is none.
+def _given(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), for which value is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def words_of(window: Column, most: int) -> Column:
+    """The first words of the window."""
+    return F.slice(F.regexp_extract_all(window, F.lit(_WORD), F.lit(0)), 1, most)
+
+
+def first_name(words: Column, most: int) -> Column:
+    """(raw, columns) of the first phrase of the map among the words (most at most), the longest at each word; null if there is none.
     Phrases of two letters count in capitals only."""
-    words = F.slice(F.regexp_extract_all(window, F.lit(_WORD), F.lit(0)), 1, most)
+    spans = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i in range(1, most + 1) for n in range(most - i + 1, 0, -1)))
 
     def at(w: Column) -> Column:
-        spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.transform(F.sequence(F.lit(most), F.lit(1)), lambda n: F.struct(i.alias("i"), n.alias("n")))))
         inside = F.filter(spans, lambda s: (s["n"] <= F.col("_longest")) & (s["i"] + s["n"] - 1 <= F.size(w)))
-        raw = F.transform(inside, lambda s: F.array_join(F.slice(w, s["i"], s["n"]), " "))
-        named = F.transform(raw, lambda r: F.struct(r.alias("raw"), phrase(r).alias("p")))
-        fit = F.filter(named, lambda x: F.col("_names")[x["p"]].isNotNull() & ((F.length(F.replace(x["p"], F.lit(" "), F.lit(""))) > 2) | (x["raw"] == F.upper(x["raw"]))))
-        return F.get(F.transform(fit, lambda x: F.struct(x["raw"].alias("raw"), F.col("_names")[x["p"]].alias("columns"))), F.lit(0))
+        # No word has a space or a hyphen, so the phrase of several words is their phrases in a row.
+        named = F.transform(inside, lambda s: _given(F.array_join(F.slice(w["p"], s["i"], s["n"]), " "), lambda p: F.struct(s.alias("s"), p.alias("p"), F.element_at("_names", p).alias("columns"))))
+        known = F.filter(named, lambda x: x["columns"].isNotNull())
+        raw = F.transform(known, lambda x: F.struct(F.array_join(F.slice(w["raw"], x["s"]["i"], x["s"]["n"]), " ").alias("raw"), x["p"].alias("p"), x["columns"].alias("columns")))
+        fit = F.filter(raw, lambda x: (F.length(F.replace(x["p"], F.lit(" "), F.lit(""))) > 2) | (x["raw"] == F.upper(x["raw"])))
+        return F.get(F.transform(fit, lambda x: F.struct(x["raw"].alias("raw"), x["columns"].alias("columns"))), F.lit(0))
 
-    return at(words)
+    return _given(F.transform(words, lambda w: F.struct(w.alias("raw"), phrase(w).alias("p"))), at)
 
 
 def _literal(s: Column) -> Column:
@@ -91,26 +105,32 @@ def check(drafts: DataFrame, values: DataFrame, literals: DataFrame, names: Data
     """
     read = drafts.select(key, read_in("draft").alias("r"))
     said = read.select(key, F.col("r.text").alias("draft"), F.posexplode_outer("r.found").alias("at", "s"))
-    ways = statable(values, key, "column").select(F.col(key).alias("_key"), "number", "most", "column")
-    fits = (F.col(key) == F.col("_key")) & (F.col("s.value") == F.col("number")) & (F.col("s.decimals") <= F.col("most")) & ~F.col("s.exotic")
-    hits = said.join(ways, fits, "left").groupBy(key, "at").agg(
-        F.any_value("draft").alias("draft"), F.any_value("s").alias("s"), F.count("number").alias("hits"), F.collect_set("column").alias("columns"), F.count(F.when(F.col("number").isNotNull() & F.col("column").isNull(), 1)).alias("bare")
-    )
-    allowed = literals.select(F.col(key).alias("_key"), F.explode(numbers_in("text")).alias("a")).select("_key", _literal(F.col("a")).alias("_allowed")).distinct()
-    known = hits.join(allowed, (F.col(key) == F.col("_key")) & (_literal(F.col("s")) == F.col("_allowed")) & ~F.col("s.exotic"), "left").crossJoin(F.broadcast(lexicon(names)))
-    after = first_name(F.regexp_extract(F.expr("substr(draft, s.end + 1)"), _WINDOW, 0), AFTER)
-    before = first_name(F.regexp_extract(F.expr("substr(draft, 1, s.start)"), _COLON, 1), BEFORE)
-    named = known.withColumns({"after": after, "before": before})
+    after = words_of(F.regexp_extract(F.expr("substr(draft, s.end + 1)"), _WINDOW, 0), AFTER)
+    head = F.expr("substr(draft, 1, s.start)")
+    before = words_of(F.when(head.rlike(r":\s*$"), F.regexp_extract(head, _COLON, 1)), BEFORE)
+    quantities = F.when(F.coalesce("at", F.lit(0)) == 0, F.regexp_extract_all("draft", F.lit(_QUANTITY), F.lit(1)))
+    said = said.select(
+        key, "at", F.col("s.text").alias("text"), F.col("s.value").alias("value"), F.col("s.decimals").alias("decimals"), F.col("s").isNotNull().alias("stated"),
+        F.when(~F.col("s.exotic"), _literal(F.col("s"))).alias("literal"), after.alias("after"), before.alias("before"), quantities.alias("quantities"),
+    )
+    # What a literal allows, and what states a value, under the same text: a number's is its size.
+    ways = _ways(values, key, "column").select(F.col(key).alias("_key"), F.concat(F.lit("v"), F.ltrim("number", F.lit("-"))).alias("_literal"), F.struct("number", "most", "column").alias("_way"))
+    allowed = literals.select(F.col(key).alias("_key"), F.explode(numbers_in("text")).alias("a")).select("_key", _literal(F.col("a")).alias("_literal"), F.lit(None).cast(ways.schema["_way"].dataType).alias("_way"))
+    evidence = ways.unionByName(allowed).groupBy("_key", "_literal").agg(F.collect_set("_way").alias("_ways"), F.count(F.when(F.col("_way").isNull(), 1)).alias("_allowed"))
+    met = said.join(evidence, (F.col(key) == F.col("_key")) & (F.col("literal") == F.col("_literal")), "left")
+    met = met.withColumn("hits", F.filter(F.coalesce("_ways", F.array().cast(evidence.schema["_ways"].dataType)), lambda w: (w["number"] == F.col("value")) & (F.col("decimals") <= w["most"])))
+    met = met.withColumns({"hit": F.size("hits") > 0, "columns": F.transform("hits", lambda w: w["column"])}).crossJoin(F.broadcast(lexicon(names)))
+    # A value without a name is under any name right.
+    told = F.col("hit") & ~F.exists("columns", lambda c: c.isNull())
+    named = met.withColumn("after", F.when(told, first_name(F.col("after"), AFTER)))
+    named = named.withColumn("before", F.when(told & F.col("after").isNull(), first_name(F.col("before"), BEFORE)))
     strange = lambda c: ~F.arrays_overlap(F.col(f"{c}.columns"), F.col("columns"))
-    wrong = F.when(F.col("after").isNotNull(), F.when(strange("after"), F.concat_ws(" ", "s.text", "after.raw"))).when(F.col("before").isNotNull() & strange("before"), F.concat(F.col("before.raw"), F.lit(": "), F.col("s.text")))
-    missing = (F.col("hits") == 0) & F.col("_allowed").isNull() & F.col("s").isNotNull()
-    judged = named.select(
-        key, "at", "draft", F.col("s").isNotNull().alias("stated"), F.when(missing, F.col("s.text")).alias("no"), F.when((F.col("hits") > 0) & (F.col("bare") == 0) & (F.size("columns") > 0), wrong).alias("wrong")
-    )
+    wrong = F.when(F.col("after").isNotNull(), F.when(strange("after"), F.concat_ws(" ", "text", "after.raw"))).when(F.col("before").isNotNull() & strange("before"), F.concat(F.col("before.raw"), F.lit(": "), F.col("text")))
+    missing = F.col("stated") & ~F.col("hit") & (F.coalesce("_allowed", F.lit(0)) == 0)
+    judged = named.select(key, "at", "stated", "quantities", F.when(missing, F.col("text")).alias("no"), wrong.alias("wrong"))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", c)))), lambda x: x[c])
-    found = judged.groupBy(key).agg(F.any_value("draft").alias("draft"), F.count(F.when(F.col("stated"), 1)).alias("numbers"), ordered("no").alias("no"), ordered("wrong").alias("mislabelled"))
-    unmatched = F.concat("no", F.regexp_extract_all("draft", F.lit(_QUANTITY), F.lit(1)))
-    return found.select(key, "numbers", unmatched.alias("unmatched"), "mislabelled").select(key, ((F.size("unmatched") == 0) & (F.size("mislabelled") == 0)).alias("ok"), "numbers", "unmatched", "mislabelled")
+    found = judged.groupBy(key).agg(F.any_value("quantities", True).alias("quantities"), F.count(F.when(F.col("stated"), 1)).alias("numbers"), ordered("no").alias("no"), ordered("wrong").alias("mislabelled"))
+    return found.select(key, "numbers", F.concat("no", "quantities").alias("unmatched"), "mislabelled").select(key, ((F.size("unmatched") == 0) & (F.size("mislabelled") == 0)).alias("ok"), "numbers", "unmatched", "mislabelled")
 
 
 def problems(checked: DataFrame, key: str = "key") -> DataFrame:
