@@ -3,6 +3,7 @@
 import random
 import zlib
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -114,3 +115,13 @@ def test_sale_lines_with_awkward_rows(spark):
     want = [(n, d, i, min(10, 1 + (d - 19723) * 10 // 180), c, o, w, r) for n, d, i, c, o, w, r in recount(counted)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sales_feed(df.limit(0), items, vendors).count() == 0
+
+
+def test_no_store_stays_open_after_its_batch(spark):
+    """Each start opens a store a partition and level; those that are closed have removed their folder."""
+    jvm = spark.sparkContext._jvm
+    local = Path(jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    before = set(local.glob("**/*StateStoreId*"))
+    df = spark.createDataFrame([(*x, x[2] // 6) for x in made(random.Random(3), 80)], leaderboard.LINES + ", batch int")
+    assert feed(df, shards=2).count() > 0
+    assert set(local.glob("**/*StateStoreId*")) <= before
