@@ -133,6 +133,11 @@ def meeting_keys(text: str, first: bool) -> set[str]:
     return keys
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows in as many tasks as shuffles have: names and questions are so short that few files hold them all, and their work is many times their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*by))
+
+
 def _keyed(texts: DataFrame, text: str, first: bool) -> DataFrame:
     """text and a hash of each of its meeting keys (key)."""
 
@@ -144,9 +149,7 @@ def _keyed(texts: DataFrame, text: str, first: bool) -> DataFrame:
                 at = pa.array([k for k, f in enumerate(found) for _ in range(len(f))], pa.int32())
                 yield pa.RecordBatch.from_arrays([own.take(at), pa.array([x for f in found for x in f], pa.string())], names=[text, "key"])
 
-    # A text has some hundred keys, so tasks are not to be as few as the texts' bytes would have them.
-    dealt = texts.select(text).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(text))
-    return dealt.mapInArrow(keys, f"`{text}` string, key string").select(text, F.xxhash64("key").alias("key"))
+    return _dealt(texts.select(text), text).mapInArrow(keys, f"`{text}` string, key string").select(text, F.xxhash64("key").alias("key"))
 
 
 def similar_names(spans: DataFrame, names: DataFrame, span: str = "span", name: str = "name", least: int = LEAST_RATIO) -> DataFrame:
@@ -170,7 +173,7 @@ def similar_names(spans: DataFrame, names: DataFrame, span: str = "span", name:
 def spans_of(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Every run of one to four words: key, at, n, span (as names are compared), mention, first (its first word), and whether it
     begins with a capital, ends with a word that does, and has a question word."""
-    words = texts.select(F.col(key).alias("key"), _words(text).alias("w"))
+    words = _dealt(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), "key").select("key", _words("text").alias("w"))
     runs = words.select("key", "w", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("n")).where(F.col("n") <= F.size("w"))
     runs = runs.select("key", "n", F.posexplode(F.expr("transform(sequence(1, size(w) - n + 1), i -> slice(w, i, n))")).alias("at", "r"))
     upper = lambda c: c.rlike(r"^\p{Lu}")
@@ -198,12 +201,12 @@ def resolve(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key: str,
     first by name, if one player has it). Several entities are ambiguous: ids then lists players from the newest, then by name, then
     teams by id. A question word alone is no mention. Texts are told apart by key; null and empty ones have no mentions.
     """
-    known = aliases.join(entities.select("kind", "id", "name", "recency"), ["kind", "id"])
+    known = _dealt(aliases.join(entities.select("kind", "id", "name", "recency"), ["kind", "id"]), "kind", "id")
     rank = (F.when(F.col("kind") == "player", 0).otherwise(1), F.when(F.col("kind") == "player", -F.coalesce("recency", F.lit(0))).otherwise(0), F.when(F.col("kind") == "player", F.col("name")), F.col("id"))
     entity = F.struct(*(c.alias(f"r{k}") for k, c in enumerate(rank)), "kind", "id")
     owners = known.groupBy(fold("alias").alias("span"), "kind", "id").agg(F.min(entity).alias("e"), F.min(F.when(F.col("alias_kind") != "last name", F.col("alias_kind"))).alias("how"))
     exact = owners.groupBy("span").agg(F.array_sort(F.collect_list(F.struct("e", "how"))).alias("owners"))
-    lasts = entities.where("kind = 'player' and last is not null and last <> ''").withColumns({"last": fold("last"), "letter": F.substring(fold("name"), 1, 1)})
+    lasts = _dealt(entities.where("kind = 'player' and last is not null and last <> ''"), "kind", "id").withColumns({"last": fold("last"), "letter": F.substring(fold("name"), 1, 1)})
     shared = lasts.groupBy("last").agg(F.array_sort(F.collect_list(F.struct(entity.alias("e"), "letter"))).alias("sharing"))
 
     found = spans_of(texts, key, text).where("span <> '' and not (n = 1 and asks)").join(exact, "span", "left").join(shared.where(F.size("sharing") > 1), "last", "left")
