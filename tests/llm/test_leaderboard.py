@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tallyspark.llm import leaderboard
-from tallyspark.llm.leaderboard import _packed, _unpacked, best, board_changes, feed, sales_feed, shard_changes
+from tallyspark.llm.leaderboard import _packed, _unpacked, best, board_changes, combined, feed, sales_feed, shard_changes
 
 
 def top(revenue):
@@ -125,3 +125,45 @@ def test_no_store_stays_open_after_its_batch(spark):
     df = spark.createDataFrame([(*x, x[2] // 6) for x in made(random.Random(3), 80)], leaderboard.LINES + ", batch int")
     assert feed(df, shards=2).count() > 0
     assert set(local.glob("**/*StateStoreId*")) <= before
+
+
+def test_lines_are_combined_in_each_task(spark, monkeypatch):
+    monkeypatch.setattr(leaderboard, "HELD", 40)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2]), rng.choice([None, 1, 7]), rng.randrange(3), rng.randrange(2), rng.randrange(-9, 9)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "nation_id int, item_id bigint, day bigint, shipped bigint, cents bigint").coalesce(2)
+    got, want = [tuple(r) for r in combined(df).collect()], {}
+    for *k, c in rows:
+        want[tuple(k)] = want.get(tuple(k), 0) + c
+    found = {}
+    for *k, c in got:
+        found[tuple(k)] = found.get(tuple(k), 0) + c
+    assert found == want
+    assert len(got) <= len(rows) // 3
+    assert combined(df).columns == df.columns
+
+
+def test_joins_have_a_partition_for_so_many_lines_and_the_stream_no_second_kind_of_worker(spark, monkeypatch):
+    """Sorts of the joins grow with the lines of a partition; workers of mapInArrow would stay beside those of the state."""
+    monkeypatch.setattr(leaderboard, "ROWS", 20)
+    had, seen = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    write, change = leaderboard.written, leaderboard.changes
+
+    def writing(*a):
+        seen["partitions"] = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return write(*a)
+
+    def changing(lines, shards):
+        out = change(lines, shards)
+        seen["plan"] = out._jdf.queryExecution().logical().toString()
+        seen["stream"] = spark.conf.get("spark.sql.shuffle.partitions")
+        return out
+
+    monkeypatch.setattr(leaderboard, "written", writing)
+    monkeypatch.setattr(leaderboard, "changes", changing)
+    lines = spark.createDataFrame([(k, k % 4, 1, 1, 2, 3.5, "kept", datetime(2024, 1, 1)) for k in range(200)], "sale_id long, item_id long, vendor_id long, line_no int, quantity int, amount double, flag string, shipped_at timestamp_ntz")
+    items = spark.createDataFrame([(k, 1.25) for k in range(4)], "item_id long, price double")
+    assert sales_feed(lines, items, spark.createDataFrame([(1, 3)], "vendor_id long, nation_id int")).count() > 0
+    assert seen["partitions"] == 10
+    assert seen["stream"] == had == spark.conf.get("spark.sql.shuffle.partitions")
+    assert "MapInArrow" not in seen["plan"] and seen["plan"].count("TransformWithState") == 2
