@@ -63,6 +63,12 @@ def common_length(a: str, b: str) -> int:
     return len(a) - open_.bit_count()
 
 
+def _merged(rows: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The join by merging: keys and lists of names are many times larger in memory than their compressed files, by which Spark
+    judges whether a side is small enough to go through the driver to all executors."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 @F.pandas_udf(T.IntegerType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
@@ -78,7 +84,7 @@ def _grams(names: DataFrame, name: str) -> DataFrame:
 def _prefixes(names: DataFrame, name: str, common: DataFrame) -> DataFrame:
     """The rarest pairs of letters of each name, of which two names of the least ratio must share one. Names of l letters that are so
     similar are at most d = 3 l / 11 insertions and deletions apart, each of which changes two pairs at most, so they share all but 2 d of them."""
-    rare = _grams(names, name).join(common, "g", "left").select(name, F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g").alias("g"))
+    rare = _merged(_grams(names, name), common, "g", "left").select(name, F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g").alias("g"))
     most = 2 * F.expr(f"(3 * length({name})) div 11") + 1
     first = rare.groupBy(name).agg(F.array_sort(F.collect_list("g")).alias("gs"))
     return first.select(name, F.explode(F.slice("gs", F.lit(1), most)).alias("g")).select(name, F.col("g.g").alias("g"))
@@ -157,11 +163,11 @@ def similar_names(spans: DataFrame, names: DataFrame, span: str = "span", name:
     if least < LEAST_RATIO:
         raise ValueError(f"the filters hold from {LEAST_RATIO}")
     a, b = (df.select(c).where(F.length(c) > 1).distinct() for df, c in ((spans, span), (names, name)))
-    short = _keyed(a.where(F.length(span) <= LONG), span, True).join(_keyed(b.where(F.length(name) <= LONG), name, False), "key").select(span, name)
+    short = _merged(_keyed(a.where(F.length(span) <= LONG), span, True), _keyed(b.where(F.length(name) <= LONG), name, False), "key").select(span, name)
     # Texts of more letters would have too many keys; what resembles one of them has 32 letters or more.
     c, d = (df.where(F.length(x) > LONG * LEAST_RATIO // (200 - LEAST_RATIO)) for df, x in ((a, span), (b, name)))
     common = _grams(d, name).groupBy("g").agg(F.count("*").alias("f"))
-    long = _prefixes(c, span, common).join(_prefixes(d, name, common), "g").select(span, name).where(F.greatest(F.length(span), F.length(name)) > LONG)
+    long = _merged(_prefixes(c, span, common), _prefixes(d, name, common), "g").select(span, name).where(F.greatest(F.length(span), F.length(name)) > LONG)
     both = F.length(span) + F.length(name)
     room = (100 - least) * both  # in hundredths of letters that may be only in one of them
     met = short.unionByName(long).where(100 * F.abs(F.length(span) - F.length(name)) <= room)
@@ -201,7 +207,7 @@ def resolve(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key: str,
     first by name, if one player has it). Several entities are ambiguous: ids then lists players from the newest, then by name, then
     teams by id. A question word alone is no mention. Texts are told apart by key; null and empty ones have no mentions.
     """
-    known = _dealt(aliases.join(entities.select("kind", "id", "name", "recency"), ["kind", "id"]), "kind", "id")
+    known = _dealt(_merged(aliases, entities.select("kind", "id", "name", "recency"), ["kind", "id"]), "kind", "id")
     rank = (F.when(F.col("kind") == "player", 0).otherwise(1), F.when(F.col("kind") == "player", -F.coalesce("recency", F.lit(0))).otherwise(0), F.when(F.col("kind") == "player", F.col("name")), F.col("id"))
     entity = F.struct(*(c.alias(f"r{k}") for k, c in enumerate(rank)), "kind", "id")
     owners = known.groupBy(fold("alias").alias("span"), "kind", "id").agg(F.min(entity).alias("e"), F.min(F.when(F.col("alias_kind") != "last name", F.col("alias_kind"))).alias("how"))
@@ -209,7 +215,8 @@ def resolve(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key: str,
     lasts = _dealt(entities.where("kind = 'player' and last is not null and last <> ''"), "kind", "id").withColumns({"last": fold("last"), "letter": F.substring(fold("name"), 1, 1)})
     shared = lasts.groupBy("last").agg(F.array_sort(F.collect_list(F.struct(entity.alias("e"), "letter"))).alias("sharing"))
 
-    found = spans_of(texts, key, text).where("span <> '' and not (n = 1 and asks)").join(exact, "span", "left").join(shared.where(F.size("sharing") > 1), "last", "left")
+    found = _merged(spans_of(texts, key, text).where("span <> '' and not (n = 1 and asks)"), exact, "span", "left")
+    found = _merged(found, shared.where(F.size("sharing") > 1), "last", "left")
     fit = F.filter("owners", lambda o: F.col("capital") | o["how"].isNotNull() | (o["e"]["kind"] == "team"))
     alike = F.filter("sharing", lambda s: (F.col("n") == 1) | (s["letter"] == F.substring("first", 1, 1)))
     initial = (F.col("n") == 1) | ((F.col("n") == 2) & F.col("first").rlike(r"^[a-z]\.?$"))
@@ -222,8 +229,8 @@ def resolve(texts: DataFrame, entities: DataFrame, aliases: DataFrame, key: str,
     players = owners.where("kind = 'player' and instr(span, ' ') > 0").groupBy(F.col("span").alias("name")).agg(F.count("*").alias("owned"), F.min("e").alias("e"))
     misspelt = similar_names(found.where("es is null and candidate").select("span"), players.select("name"))
     best = misspelt.groupBy("span").agg(F.min(F.struct(-F.col("ratio"), F.col("name"))).alias("b")).select("span", F.col("b.name").alias("name"))
-    fuzzy = best.join(players.where("owned = 1"), "name").select("span", F.col("e").alias("resembles"))
-    hits = found.join(fuzzy, "span", "left").where(F.col("es").isNotNull() | (F.col("candidate") & F.col("resembles").isNotNull()))
+    fuzzy = _merged(best, players.where("owned = 1"), "name").select("span", F.col("e").alias("resembles"))
+    hits = _merged(found, fuzzy, "span", "left").where(F.col("es").isNotNull() | (F.col("candidate") & F.col("resembles").isNotNull()))
     hit = F.struct("n", "at", "mention", F.coalesce("es", F.array("resembles")).alias("es"), F.coalesce("how", F.lit("fuzzy")).alias("how"))
     stands = hits.groupBy("key").agg(F.collect_list(hit).alias("hits")).select("key", F.explode(_cover(F.col("hits"))).alias("h"))
     ids = F.transform("h.es", lambda e: F.struct(e["kind"].alias("kind"), e["id"].alias("id")))
