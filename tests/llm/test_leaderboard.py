@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import leaderboard
 from tallyspark.llm.leaderboard import _packed, _unpacked, best, board_changes, combined, feed, sales_feed, shard_changes
@@ -143,6 +144,16 @@ def test_lines_are_combined_in_each_task(spark, monkeypatch):
     assert combined(df).columns == df.columns
 
 
+def test_lines_without_null_cents_are_combined_again_and_again(spark, monkeypatch):
+    """Sums that are kept meet further batches of the task, as where a third of the lines has one item."""
+    monkeypatch.setattr(leaderboard, "HELD", 40)
+    df = spark.range(600).coalesce(1).select((F.col("id") % 2).cast("int").alias("nation_id"), F.lit(7).cast("bigint").alias("item_id"), F.lit(1).cast("bigint").alias("day"), F.coalesce("id", F.lit(0)).alias("cents"))
+    assert not df.schema["cents"].nullable
+    with leaderboard.settings(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "25"}):
+        got = [tuple(r) for r in combined(df).collect()]
+    assert sorted(got) == [(0, 7, 1, sum(range(0, 600, 2))), (1, 7, 1, sum(range(1, 600, 2)))]
+
+
 def test_joins_have_a_partition_for_so_many_lines_and_the_stream_no_second_kind_of_worker(spark, monkeypatch):
     """Sorts of the joins grow with the lines of a partition; workers of mapInArrow would stay beside those of the state."""
     monkeypatch.setattr(leaderboard, "ROWS", 20)
